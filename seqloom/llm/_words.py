@@ -65,6 +65,33 @@ def spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def parts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, cut again between a letter and a full stop or comma after it: (bytes, starts, ends, first of each text).
+
+    A part of plain ASCII without "<" has A-Z lower-cased in the bytes returned; others stay as they are.
+    """
+    starts, ends, first = spans(buf, offsets)
+    n = len(buf)
+    if not len(starts):
+        return buf, starts, ends, first
+    low = LOWER[buf]
+    letter = (low >= 97) & (low <= 122)
+    # or the second byte of a Latin-1 letter
+    letter[1:] |= (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] < 0xC0) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+    cut = np.zeros(n, bool)
+    cut[1:] = ((buf[1:] == 46) | (buf[1:] == 44)) & letter[:-1]
+    cut[offsets[:-1][offsets[:-1] < n]] = False
+    more = np.flatnonzero(cut)
+    starts, ends = np.sort(np.concatenate([starts, more])), np.sort(np.concatenate([ends, more]))
+    odd = np.zeros(n + 1, np.int32)
+    np.cumsum((buf >= 128) | (buf == 60), out=odd[1:])
+    raw = odd[ends] > odd[starts]
+    inside = np.zeros(n + 1, np.int8)
+    inside[starts[raw]] += 1
+    inside[ends[raw]] -= 1
+    return np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, buf, low), starts, ends, np.searchsorted(starts, offsets)
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """One 64-bit hash for each word, from its bytes alone."""
     p, inverse = powers(len(buf) + 1, 0)

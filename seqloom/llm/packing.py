@@ -56,29 +56,9 @@ class Encoder:
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids (16 bits each) and where each text's begin, one more at the end."""
-        starts, ends, first = W.spans(buf, offsets)
+        low, starts, ends, first = W.parts(buf, offsets)
         if not len(starts):
             return np.zeros(0, np.uint16), np.zeros(len(offsets), np.int64)
-        n = len(buf)
-        stop = (buf == 46) | (buf == 44)
-        low = W.LOWER[buf]
-        letter = (low >= 97) & (low <= 122)
-        two = np.zeros(n, bool)  # second byte of a Latin-1 letter
-        two[1:] = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] < 0xC0) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
-        cut = np.zeros(n, bool)
-        cut[1:] = stop[1:] & (letter | two)[:-1]
-        cut[offsets[:-1][offsets[:-1] < n]] = False
-        more = np.flatnonzero(cut)
-        starts, ends = np.sort(np.concatenate([starts, more])), np.sort(np.concatenate([ends, more]))
-        first = np.searchsorted(starts, offsets)
-        # Only plain ASCII without "<" (special tokens) may be lower-cased here; the rest is left to the normalizer.
-        odd = np.zeros(n + 1, np.int64)
-        np.cumsum((buf >= 128) | (buf == 60), out=odd[1:])
-        raw = odd[ends] > odd[starts]
-        inside = np.zeros(n + 1, np.int8)
-        inside[starts[raw]] += 1
-        inside[ends[raw]] -= 1
-        low = np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, buf, low)
         keys, at, inverse = np.unique(W.word_hashes(low, starts, ends), return_index=True, return_inverse=True)
         if len(self.have) > CACHE:
             self.have, self.older = {}, self.have
