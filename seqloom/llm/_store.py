@@ -36,3 +36,11 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in have:
         base += "_"
     return base
+
+
+def bound_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Arrow batches to Python by bytes as well as by rows, so that long texts do not fill a worker."""
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    except Exception:  # a Spark before 4.1 knows rows only
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, urls
+from . import langid, minhash, mixing, packing, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected", "ce")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"))
 
@@ -69,9 +73,39 @@ SELECT doc_id, size, source_size, target, (size * (floor(i * ratio + u) - floor(
 """
 
 
+OP6_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS words FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+         ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]))) END AS s FROM w
+), classes AS MATERIALIZED (
+  SELECT min(doc_id) AS rep, s, len(s)::BIGINT AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), items AS MATERIALIZED (
+  SELECT rep, n, unnest(s) AS g FROM classes
+), common AS (
+  SELECT a.rep AS u, b.rep AS v, a.n AS nu, b.n AS nv, count(*) AS shared
+  FROM items a JOIN items b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT u, v FROM common WHERE 100 * shared >= 85 * (nu + nv - shared)
+), sym AS MATERIALIZED (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach AS (
+  SELECT u AS id, u AS root FROM sym
+  UNION
+  SELECT sym.v, reach.root FROM reach JOIN sym ON sym.u = reach.id WHERE reach.root < sym.v
+), comp AS (
+  SELECT id, min(root) AS root FROM reach GROUP BY id
+)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(comp.root, classes.rep, sets.doc_id) AS component_id,
+       sets.doc_id = coalesce(comp.root, classes.rep, sets.doc_id) AS kept
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN comp ON comp.id = classes.rep
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": OP8_SQL}
+    return {"op6_near_duplicates": OP6_SQL, "op8_mix_sources": OP8_SQL}
