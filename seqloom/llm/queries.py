@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, urls
+from . import langid, minhash, mixing, packing, substr, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substr.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), length=35, digest=True)
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,6 +77,28 @@ SELECT doc_id, size, source_size, target, (size * (floor(i * ratio + u) - floor(
 """
 
 
+OP2_SQL = """
+WITH w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - 33)) AS s FROM w WHERE len(words) >= 35
+), hashed AS MATERIALIZED (
+  SELECT doc_id, s, md5(array_to_string(words[s:s + 34], ' ')) AS h FROM windows JOIN w USING (doc_id)
+), repeated AS MATERIALIZED (
+  SELECT doc_id, s FROM hashed WHERE h IN (SELECT h FROM hashed GROUP BY h HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT doc_id, s + i AS p FROM repeated, range(0, 35) t(i)
+), lost AS (
+  SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, list(word ORDER BY p) AS words
+  FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(lost.n, 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(kept.words, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 OP6_SQL = """
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS words FROM documents
@@ -108,4 +134,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_near_duplicates": OP6_SQL, "op8_mix_sources": OP8_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op6_near_duplicates": OP6_SQL, "op8_mix_sources": OP8_SQL}
