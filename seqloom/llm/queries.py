@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, substr, urls
+from . import langid, minhash, mixing, packing, substr, urls, vecdedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,6 +77,10 @@ SELECT doc_id, size, source_size, target, (size * (floor(i * ratio + u) - floor(
 """
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 OP2_SQL = """
 WITH w AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS words FROM documents
@@ -129,9 +133,33 @@ FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN comp ON comp.id = cl
 """
 
 
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS MATERIALIZED (
+  SELECT vec_id, label, e FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), sym AS MATERIALIZED (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT u AS id, u AS root FROM sym
+  UNION
+  SELECT sym.v, reach.root FROM reach JOIN sym ON sym.u = reach.id WHERE reach.root < sym.v
+), comp AS (
+  SELECT id, min(root) AS root FROM reach GROUP BY id
+), n AS (
+  SELECT u AS id, count(*)::BIGINT AS n_links FROM sym GROUP BY u
+)
+SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, coalesce(comp.root, v.vec_id) AS component_id, v.vec_id = coalesce(comp.root, v.vec_id) AS kept
+FROM v LEFT JOIN n ON n.id = v.vec_id LEFT JOIN comp ON comp.id = v.vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op6_near_duplicates": OP6_SQL, "op8_mix_sources": OP8_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op9_embedding_dedup": OP9_SQL, "op6_near_duplicates": OP6_SQL, "op8_mix_sources": OP8_SQL}
