@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _words as W
 
@@ -191,13 +192,13 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, calibrate_docs: int = CALIBRA
         return None
     model = Model(words)
     held = sample.filter(F.col("u") >= F.col("share") * cut).select("lang", "text")
-    scored = _cross_entropies(held, model, ["lang"]).filter("best IS NOT NULL").groupBy("lang").agg(F.max("own").alias("worst")).toPandas()
+    scored = _cross_entropies(held, model, ["lang"]).filter("__best IS NOT NULL").groupBy("lang").agg(F.max("__own").alias("worst")).toPandas()
     model.limits |= {lang: worst * SLACK for lang, worst in zip(scored["lang"], scored["worst"]) if lang in model.limits and worst is not None and np.isfinite(worst)}
     return model
 
 
 def _cross_entropies(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """keep..., best (place of the language), ce, own (cross-entropy in the language named by column lang, if there), score. Nulls without a letter."""
+    """keep..., __best (place of the language), __ce, __own (cross-entropy in the language named by column lang, if there), __score, __beyond. Nulls without a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +207,7 @@ def _cross_entropies(docs: DataFrame, model: Model, keep: list[str]) -> DataFram
         place = {x: i for i, x in enumerate(langs)}
         for b in batches:
             sums, chars = [np.zeros((0, len(langs)))], [np.zeros(0)]
-            for _, _, buf, offsets in W.pieces(b.column(len(keep))):
+            for _, _, buf, offsets in W.pieces(b.column(text_at)):
                 s, c = scorer.texts(buf, offsets)
                 sums.append(s)
                 chars.append(c)
@@ -222,12 +223,13 @@ def _cross_entropies(docs: DataFrame, model: Model, keep: list[str]) -> DataFram
             limit = np.array([scorer.model.limits[x] for x in langs])[best] if len(ce) else low
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[: len(keep)], pa.array(best, pa.int32(), mask=none), pa.array(low, pa.float64(), mask=none), pa.array(own, pa.float64(), mask=none), pa.array(score, pa.float64(), mask=none), pa.array(low > limit, pa.bool_(), mask=none)],
-                names=[*keep, "best", "ce", "own", "score", "beyond"],
+                names=[*keep, "__best", "__ce", "__own", "__score", "__beyond"],
             )
 
-    slim = docs.select(*keep, F.col("text").cast("binary").alias("text"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    return slim.mapInArrow(run, f"{kinds}, best int, ce double, own double, score double, beyond boolean")
+    slim = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else ["text"]))
+    text_at = slim.columns.index("text")
+    more = [T.StructField("__best", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("__ce", "__own", "__score")], T.StructField("__beyond", T.BooleanType())]
+    return slim.mapInArrow(run, T.StructType([*slim.schema.fields[: len(keep)], *more]))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -245,10 +247,20 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("ce"), F.lit(True).alias("rejected"))
     out = _cross_entropies(docs, model, ["doc_id"])
     names = F.array(*[F.lit(x) for x in model.langs])
-    return out.select("doc_id", F.coalesce(F.element_at(names, F.col("best") + 1), F.lit("und")).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"), "ce", F.coalesce("beyond", F.lit(True)).alias("rejected"))
+    return out.select("doc_id", F.coalesce(F.element_at(names, F.col("__best") + 1), F.lit("und")).alias("lang_pred"), F.coalesce("__score", F.lit(0.0)).alias("score"), F.col("__ce").alias("ce"), F.coalesce("__beyond", F.lit(True)).alias("rejected"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Fit on the labelled rows of ``docs`` and predict all of them; held_out tells which labels were not learned from."""
     model = fit(docs)
     return predict(docs, model).withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with their columns; a null lang becomes the one found."""
+    model = fit(docs)
+    if model is None:
+        return docs.limit(0)
+    out = _cross_entropies(docs, model, docs.columns).filter(~F.coalesce("__beyond", F.lit(True)))
+    names = F.array(*[F.lit(x) for x in model.langs])
+    return out.withColumn("lang", F.coalesce("lang", F.element_at(names, F.col("__best") + 1))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -209,3 +209,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         comps = components(links.unionByName(more))
     done = member.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     return done.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` less all but one document, the smallest doc_id, of each group of near duplicates."""
+    kept = near_duplicates(docs, k, percent).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, minhash, mixing, packing, substr, urls, vecdedup
+from . import ann, chat, langid, minhash, mixing, packing, substr, tokens, urls, vecdedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(_read(spark, sf_dir, "conversations"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substr.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), length=35, digest=True)
 
@@ -29,6 +33,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected", "ce")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
 
@@ -85,6 +95,30 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+OP1_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(CASE WHEN role <> '' THEN regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g') END, 'unknown') AS speaker,
+         replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
+), who AS (
+  SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'
+), seen AS (
+  SELECT t.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS shown_as
+  FROM t JOIN who ON t.conv_id IS NOT DISTINCT FROM who.conv_id
+), heads AS (
+  SELECT *, CASE WHEN shown_as = 'user' THEN speaker END AS name,
+         '<|turn|>' || shown_as || coalesce(CASE WHEN shown_as = 'user' THEN ' name=' || speaker END, '') || chr(10) AS head FROM seen
+), segments AS (
+  SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM heads
+), placed AS (
+  SELECT *, length(segment) AS size, row_number() OVER w - 1 AS pos, (sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS "end"
+  FROM segments WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text)
+)
+SELECT conv_id, perspective, pos, speaker, shown_as, name, segment, "end" - size AS "start", "end",
+       CASE WHEN shown_as = 'assistant' THEN "end" - size + length(head) END AS mask_start,
+       CASE WHEN shown_as = 'assistant' THEN "end" END AS mask_end
+FROM placed
+"""
+
 OP2_SQL = """
 WITH w AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS words FROM documents
@@ -166,4 +200,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op9_embedding_dedup": OP9_SQL, "op6_near_duplicates": OP6_SQL, "op8_mix_sources": OP8_SQL}
+    return {"op1_chat_perspectives": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_embedding_dedup": OP9_SQL, "op6_near_duplicates": OP6_SQL, "op8_mix_sources": OP8_SQL}

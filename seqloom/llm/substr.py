@@ -56,6 +56,8 @@ def seeds(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     new = np.ones(len(ok), bool)
     new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
     row = np.flatnonzero(new)
+    run = np.arange(len(ok)) - np.repeat(row, np.diff(np.append(row, len(ok))))
+    row = np.flatnonzero(run % 60 == 0)  # a row's windows are bits of one long
     h = W.grams(words, length)[ok].view(np.uint8).reshape(-1, 8)[:, :SHORT]
     return doc[row], g[at[row]].view(np.int64), ok[row] - first[doc[row]], np.diff(np.append(row, len(ok))), h
 
@@ -152,7 +154,7 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
         size = np.diff(np.append(begin, len(order)))
         many = np.zeros(len(order), bool)
         many[order] = np.repeat(size > 1, size)
-        mask = np.bincount(row[many], 2.0 ** bit[many], len(count)).astype(np.int32)
+        mask = np.add.reduceat(many.astype(np.int64) << bit, np.cumsum(count) - count)
         kept = np.flatnonzero(mask)
         s0 = t.column("s0").to_numpy()
         # Of anchors dealt out: one row for each window hash, with its place if there is one place only.
@@ -162,13 +164,13 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
         at = pa.array(rows)
         n = np.concatenate([np.zeros(len(kept), np.int32), np.where(alone, 1, 2).astype(np.int32)])
         place = np.concatenate([s0[kept], s0[row[some]] + bit[some]]).astype(np.int32)
-        masks = np.concatenate([mask[kept], np.where(alone, 1, 0)]).astype(np.int32)
+        masks = np.concatenate([mask[kept], np.where(alone, 1, 0)]).astype(np.int64)
         window = np.concatenate([np.zeros(len(kept), np.int64), h[some].view(np.int64)])
         out = [pa.array(anchor[rows]), pa.array(window), pa.array(n), t.column("doc_id").take(at), t.column("th").take(at), pa.array(place), pa.array(masks)]
         yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out], names=["anchor", "h", "n", "doc_id", "th", "s0", "mask"])
 
     spread = rows.mapInArrow(emit, "anchor long, salt int, doc_id long, th int, s0 int, hs binary")
-    met = spread.repartition(tasks, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(meet, "anchor long, h long, n int, doc_id long, th int, s0 int, mask int")
+    met = spread.repartition(tasks, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(meet, "anchor long, h long, n int, doc_id long, th int, s0 int, mask long")
     met = stage(met, "repeats")
     single = met.filter("n > 0")
     again = single.groupBy("anchor", "h").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", "h")
