@@ -127,36 +127,80 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return two.select("u", "v", "text_v", "text_u").mapInArrow(run, "u long, v long")
 
 
+def bitmaps(texts: DataFrame, k: int) -> DataFrame:
+    """(id, bits) of (id, text): one bit for each shingle's hash, in a power of two of 8 to 16 bits a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, n, buf, offsets in W.pieces(b.column(1)):
+                h, to = shingles(buf, offsets, k)
+                out = []
+                for i in range(n):
+                    own = h[to[i] : to[i + 1]]
+                    size = 1 << max(6, int(8 * len(own) - 1).bit_length())
+                    bits = np.zeros(size, np.uint8)
+                    bits[(own & U64(size - 1)).astype(np.int64)] = 1
+                    out.append(np.packbits(bits, bitorder="little").tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array(out, pa.binary())], names=["id", "bits"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, bits binary")
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of bitmaps, halved until they have ``size`` bytes: shorter maps use fewer of a hash's low bits."""
+    while bits.shape[1] > size:
+        bits = bits[:, : bits.shape[1] // 2] | bits[:, bits.shape[1] // 2 :]
+    return bits
+
+
 def _across(members: DataFrame, percent: int, t: int) -> DataFrame:
-    """Pairs (u, v) of different components within a bucket whose sketches do not rule a link out. members: (h, id, comp, n_shingles, sketch).
+    """Pairs (u, v) of different components within a bucket that nothing short of the sets rules out. members: (h, id, comp, n_shingles, sketch, bits).
 
     A bucket of m members is cut in ceil(m / TILE) blocks by a hash of the id,
-    and each pair of blocks is a task's work, so any bucket is compared whole
-    in bounded memory. Sketches agree on about the similarity's share of the t
-    coordinates; pairs more than six deviations below are left out.
+    and each pair of blocks is a task's work, so any bucket is compared whole in
+    bounded memory. Sketches agree on about the similarity's share of the t
+    coordinates; pairs more than six deviations below are left out. For the rest
+    bitmaps bound the intersection from above: each bit of one map that the other
+    lacks is a shingle, at least, that the other lacks. So few pairs are put out
+    but links.
     """
     j = percent / 100
     least = int(np.floor(t * j - 6 * np.sqrt(t * j * (1 - j))))
     sizes = members.groupBy("h").agg(F.count("*").alias("m"))
     cut = members.join(sizes, "h").withColumn("blocks", F.ceil(F.col("m") / TILE).cast("long")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     both = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    both = both.select("h", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "comp", "n_shingles", "sketch")
+    both = both.select("h", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "comp", "n_shingles", "sketch", "bits")
 
     def compare(t_: pa.Table) -> pa.Table:
         x = t_.combine_chunks()
         ids, comp, size, own = (x.column(c).to_numpy() for c in ("id", "comp", "n_shingles", "own"))
         s = np.frombuffer(b"".join(x.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        maps = x.column("bits").to_pylist()
+        wide = np.array([len(m) for m in maps])
+        # For each width, the maps of this width and wider ones, folded.
+        at, level = {}, {}
+        for w in np.unique(wide).tolist():
+            rows = np.flatnonzero((wide >= w) & (wide <= 4 * w))
+            at[w] = np.full(len(ids), -1)
+            at[w][rows] = np.arange(len(rows))
+            level[w] = np.concatenate([_folded(np.frombuffer(maps[r], np.uint8)[None, :], w) for r in rows.tolist()])
         a, b = x.column("a")[0].as_py(), x.column("b")[0].as_py()
         left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
         us, vs = [], []
-        for i in left:
+        for i in left.tolist():
             other = right[(comp[right] != comp[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
             if a == b:
                 other = other[other > i]
             if len(other):
                 other = other[(s[other] == s[i]).sum(1) >= least]
-                us.append(np.maximum(ids[other], ids[i]))
-                vs.append(np.minimum(ids[other], ids[i]))
+            for w in np.unique(np.minimum(wide[other], wide[i])).tolist():
+                some = other[np.minimum(wide[other], wide[i]) == w]
+                mine, theirs = level[w][at[w][i]][None, :], level[w][at[w][some]]
+                lack = np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64)
+                most = np.minimum(size[i] - lack[0], size[some] - lack[1])
+                some = some[100 * most >= percent * (size[i] + size[some] - most)]
+                us.append(np.maximum(ids[some], ids[i]))
+                vs.append(np.minimum(ids[some], ids[i]))
         cat = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
         return pa.table({"u": pa.array(cat(us), pa.int64()), "v": pa.array(cat(vs), pa.int64())})
 
@@ -202,7 +246,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     of = shared.join(comps, "id", "left").select("h", "id", F.coalesce("component_id", "id").alias("comp"))
     of = stage(of, "bucket-comps")
     mixed = of.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("h")
-    members = of.join(mixed, "h", "left_semi").join(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "id")
+    members = stage(of.join(mixed, "h", "left_semi"), "mixed")
+    maps = bitmaps(texts.join(members.select("id").distinct(), "id", "left_semi"), k)
+    members = members.join(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sketch").join(maps, "id"), "id")
     more = _across(members, percent, bands * rows).join(pairs, ["u", "v"], "left_anti")
     more = stage(verify(stage(more, "across"), texts, k, percent), "more-links")
     if more.limit(1).count():
