@@ -16,6 +16,10 @@ from ._store import bound_batches, stage
 PROJECTIONS, MISS_COUNT, MISS_CELLS = 32, 1e-7, 1e-6
 #: Cell width and window half-width in deviations of a projected difference at the threshold.
 CELL, WINDOW = 4.0, 2.0
+#: Half-width, in the same deviations, of the window of the sorted projection; beyond it no pair is counted.
+REACH = 5.5
+#: A projection of a unit vector, N(0, 1), is kept in a byte: so wide is a step.
+STEP = 10 / 256
 #: Members of a cell that are compared at once; larger cells go in blocks. Members that a cell has about.
 TILE, CELL_ROWS = 512, 256
 
@@ -55,18 +59,21 @@ def linked(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, cx: np.
     """Pairs (row of x, row of y) that collide on ``least`` projections, shared no cell in an earlier round and reach the cosine in double precision."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
     nx, ny = np.sqrt(np.einsum("ij,ij->i", x, x)), np.sqrt(np.einsum("ij,ij->i", y, y))
+    # Bytes: a window is one subtraction modulo 256 and one comparison. What wraps around is verified, never lost.
+    w, reach = np.uint8(min(127, np.ceil(window / STEP) + 1)), int(np.ceil(REACH / WINDOW * window / STEP)) + 1
     order = np.argsort(py[:, 0], kind="stable")  # the first projection is sorted: only its window is counted at all
-    first = py[order, 0]
+    first = py[order, 0].astype(np.int64)
     by = np.argsort(px[:, 0], kind="stable")
     for at in range(0, len(by), 128):
         rows = by[at : at + 128]
-        lo, hi = np.searchsorted(first, px[rows[0], 0] - 2 * window, "left"), np.searchsorted(first, px[rows[-1], 0] + 2 * window, "right")
+        lo, hi = np.searchsorted(first, int(px[rows[0], 0]) - reach, "left"), np.searchsorted(first, int(px[rows[-1], 0]) + reach, "right")
         cols = order[lo:hi]
         if not len(cols):
             continue
         n = np.zeros((len(rows), len(cols)), np.uint8)
+        ax, by_ = np.ascontiguousarray(px[rows].T + w)[:, :, None], np.ascontiguousarray(py[cols].T)[:, None, :]
         for j in range(px.shape[1]):
-            n += np.abs(px[rows, j][:, None] - py[cols, j][None, :]) <= window
+            n += (ax[j] - by_[j]) <= 2 * w
         i, k = np.nonzero(n >= least)
         i, k = rows[i], cols[k]
         if same:
@@ -143,7 +150,8 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, seed: int = 3) -> DataF
                 x = np.array(t.column(2).flatten(), np.float64).reshape(-1, d)
                 u = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
                 rng = np.random.default_rng([seed, int(d)])
-                p = np.einsum("ij,jk->ik", u, rng.normal(size=(int(d), PROJECTIONS))).astype(np.float32)
+                p = np.einsum("ij,jk->ik", u, rng.normal(size=(int(d), PROJECTIONS)))
+                p = np.clip(np.floor(p / STEP) + 128, 0, 255).astype(np.uint8)
                 grid, shift = rng.normal(size=(int(d), rounds * g)), rng.random(rounds * g)
                 cell = np.floor(np.einsum("ij,jk->ik", u, grid) / (CELL * sigma) + shift).astype(np.int64).reshape(len(u), rounds, g)
                 mix = rng.integers(1, 2**62, g) * 2 + 1
@@ -162,8 +170,8 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, seed: int = 3) -> DataF
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         own, rep, many = (t.column(c).to_numpy() for c in ("own", "rep", "many"))
-        wide = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.float32).reshape(len(own), -1)
-        x, p, cells = wide("vec").astype(np.float64), wide("proj"), np.array(t.column("cells").to_pylist(), np.int32)
+        wide = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(len(own), -1)
+        x, p, cells = wide("vec", np.float32).astype(np.float64), wide("proj", np.uint8), t.column("cells").combine_chunks().flatten().to_numpy().reshape(len(own), -1)
         a, b, turn = t.column("a")[0].as_py(), t.column("b")[0].as_py(), t.column("turn")[0].as_py()
         left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
         i, k = linked(x[left], x[right], p[left], p[right], cells[left], cells[right], a == b, turn, window, least, cosine)
