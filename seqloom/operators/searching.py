@@ -91,7 +91,7 @@ def lexicographical_compare(a: DataFrame, b: DataFrame, col_a: str, col_b: str,
     both = zipped(x, y, pos, "full").filter(~F.col("_a").eqNullSafe(F.col("_b")))
     first = both.agg(F.min_by(F.struct("_a", "_b"), pos).alias("d"))
     d = F.col("d")
-    return first.select(F.coalesce(F.when(d["_a"].isNull(), True).when(d["_b"].isNull(), False).otherwise(d["_a"] < d["_b"]), F.lit(False)).alias("result"))
+    return first.select(F.coalesce(F.when(d.isNull(), False).when(d["_a"].isNull(), True).when(d["_b"].isNull(), False).otherwise(d["_a"] < d["_b"]), F.lit(False)).alias("result"))
 
 
 def kmp(df: DataFrame, text: str, needle: str, out: str = "positions") -> DataFrame:
