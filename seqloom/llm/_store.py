@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def plain_names(df: DataFrame, *known: str) -> DataFrame:
+    """``df`` with all columns but ``known`` renamed by place, so that no name of theirs clashes with an operator's own."""
+    return df.select(*[F.col(f"`{c}`").alias(c if c in known else f"c{i}_") for i, c in enumerate(df.columns)])
+
+
 def bound_batches(spark: SparkSession, size: str = "16m") -> None:
     """Arrow batches to Python by bytes as well as by rows, so that long texts do not fill a worker."""
     try:

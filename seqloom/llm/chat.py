@@ -16,7 +16,8 @@ def perspectives(turns: DataFrame, system: tuple[str, ...] = ("system",)) -> Dat
     One row for each (conv_id, perspective, pos): speaker, shown_as, name,
     segment (what is written), start and end (characters of the rendered
     dialogue, which is all segments in order), mask_start and mask_end (the part
-    to learn from: text and end mark of the assistant's turns; else null).
+    to learn from: text and end mark of the assistant's turns; else nothing, at
+    the segment's end).
 
     The perspective's speaker is shown as ``assistant``; roles in ``system`` stay
     ``system`` and are no participants; all others are ``user`` with their names.
@@ -35,7 +36,7 @@ def perspectives(turns: DataFrame, system: tuple[str, ...] = ("system",)) -> Dat
     role = F.coalesce(F.when(F.col("role") != "", F.regexp_replace("role", "[^A-Za-z0-9_-]", "_")), F.lit("unknown"))
     t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("speaker"), F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
     t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1 << 40)))
-    t = t.withColumn("key", F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0)).alias("id")))
+    t = t.withColumn("key", F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("id")))
     who = t.filter(~F.col("speaker").isin(*system)).select("key", F.col("speaker").alias("perspective")).distinct()
     seen = t.join(who, "key")
     shown = F.when(F.col("speaker").isin(*system), "system").when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
@@ -51,4 +52,4 @@ def perspectives(turns: DataFrame, system: tuple[str, ...] = ("system",)) -> Dat
     out = seen.join(blocks, [*side, "block"])
     end = F.col("at0") + F.col("to")
     mine = F.col("shown_as") == "assistant"
-    return out.select("conv_id", "perspective", (F.col("n0") + F.col("i") - 1).alias("pos"), "speaker", "shown_as", "name", "segment", (end - F.col("size")).alias("start"), end.alias("end"), F.when(mine, end - F.col("size") + F.col("head")).alias("mask_start"), F.when(mine, end).alias("mask_end"))
+    return out.select("conv_id", "perspective", (F.col("n0") + F.col("i") - 1).alias("pos"), "speaker", "shown_as", "name", "segment", (end - F.col("size")).alias("start"), end.alias("end"), F.when(mine, end - F.col("size") + F.col("head")).otherwise(end).alias("mask_start"), end.alias("mask_end"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
+from ._store import bound_batches, plain_names
 
 #: Labelled documents of a language that the model is fitted on, and those that its rejection is calibrated on.
 FIT_DOCS, CALIBRATE_DOCS, ORDER, ALPHABET = 400, 100, 5, 512
@@ -162,6 +163,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, calibrate_docs: int = CALIBRA
     from the language's count: a bounded sample, the same on each run. Words
     and their counts of the sample are all that comes to the driver.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.filter(_learned())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -261,6 +263,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     model = fit(docs)
     if model is None:
         return docs.limit(0)
-    out = _cross_entropies(docs, model, docs.columns).filter(~F.coalesce("__beyond", F.lit(True)))
+    safe = plain_names(docs, "doc_id", "text", "lang")
+    out = _cross_entropies(safe, model, safe.columns).filter(~F.coalesce("__beyond", F.lit(True)))
     names = F.array(*[F.lit(x) for x in model.langs])
-    return out.withColumn("lang", F.coalesce("lang", F.element_at(names, F.col("__best") + 1))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn("lang", F.coalesce("lang", F.element_at(names, F.col("__best") + 1))).select(*safe.columns).toDF(*docs.columns)

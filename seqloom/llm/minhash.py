@@ -98,7 +98,8 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 )
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary")
+    out = slim.mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary")
+    return out.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key")))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -222,7 +223,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     (1 - s ** rows) ** bands: 2e-8 at 0.85 and 4e-6 at 0.8 for 24 bands of 4.
 
     Null and empty texts have no shingle: n_shingles 0, a component of their
-    own. Fewer than k words: one shingle, the whole sequence. Repeated rows and
+    own. Null doc_id: linked with nothing, component_id and kept null. Fewer than k words: one shingle, the whole sequence. Repeated rows and
     copies share a component. Very long texts count whole. Empty table: empty.
     Other columns are dropped.
     """
@@ -258,6 +259,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` less all but one document, the smallest doc_id, of each group of near duplicates."""
-    kept = near_duplicates(docs, k, percent).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` less all but one document, the smallest doc_id, of each group of near duplicates.
+
+    Rows without a doc_id cannot be told apart and stay. A repeated doc_id counts once.
+    """
+    kept = near_duplicates(docs.filter("doc_id IS NOT NULL"), k, percent).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import stage
+from ._store import plain_names, stage
 
-#: Rows of one task that ranks documents, about.
-TASK_ROWS = 200_000
+#: Rows of the table of sources and tasks up to which it is broadcast; beyond, it is joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -102,8 +102,10 @@ def mix(df: DataFrame, weights: list[int] = (1, 2, 3), most: float = 3.0, keep:
     upto = Window.partitionBy("__mix_source").orderBy("__mix_pid").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(F.col("__mix_source").alias("s"), F.col("__mix_pid").alias("p"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("n"))
     offsets = before.join(targets, F.col("s").eqNullSafe(F.col("source"))).select("s", "p", "n", "source_size", "target", "ratio")
-    # At most one row for each task and one more for each source: the size is bounded by the plan, not by the data.
-    out = ranked.join(F.broadcast(offsets), F.col("__mix_source").eqNullSafe(F.col("s")) & (F.col("__mix_pid") == F.col("p")))
+    # At most one row for each task and one more for each source; broadcast only as long as that is few.
+    offsets = stage(offsets, "offsets")
+    few = offsets.count() <= MOST_BROADCAST
+    out = ranked.join(F.broadcast(offsets) if few else offsets, F.col("__mix_source").eqNullSafe(F.col("s")) & (F.col("__mix_pid") == F.col("p")))
     # 16 random bits: with them rank * ratio + offset is exact wherever the ratio is the whole number 3.
     offset = F.conv(F.substring(F.md5(F.coalesce(F.col("__mix_source"), F.lit(""))), 1, 4), 16, 10).cast("double") / 65536.0
     rank = F.col("n") + F.col("__mix_rank")
@@ -113,6 +115,7 @@ def mix(df: DataFrame, weights: list[int] = (1, 2, 3), most: float = 3.0, keep:
 
 def mixed_documents(df: DataFrame, weights: list[int] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """The mix itself: every row as often as it is taken, with the columns of ``df``."""
-    out = mix(df, weights, most)
-    cols = [F.col(f"`{c}`") for c in df.columns]
-    return out.filter(F.col("__mix_copies") > 0).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*cols)
+    safe = plain_names(df, "doc_id", "text", "source")
+    out = mix(safe, weights, most).filter(F.col("__mix_copies") > 0)
+    out = out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies"))))
+    return out.select(*safe.columns).toDF(*df.columns)

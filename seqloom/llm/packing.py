@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
+from ._store import bound_batches
 
 CAPACITY, END_ID, GROUP_DOCS, LEAST_GAP = 4096, 2, 1024, 16
 #: A worker keeps ids of up to twice so many words: of this generation, and those of the last.
@@ -166,17 +167,18 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece; with_ids: its ids too (binary, 16 bits each).
 
     A document is its ids and ``end_id``. Whole runs of ``capacity`` ids are
-    sequences of their own. The tails are dealt by a hash of doc_id to groups of
+    sequences of their own. The tails are dealt by a hash of id and text to groups of
     about ``group_docs`` documents, and each group is packed by itself: the
     number of groups follows the table, so a group's memory does not. A group
     holds at most ``group_docs`` tails on average, each under ``capacity`` ids.
 
-    Null and empty texts: ``end_id`` alone. Very long texts are encoded as a
+    Null and empty texts: ``end_id`` alone. Null doc_id: packed under null. Very long texts are encoded as a
     whole and give many whole runs. Repeated rows are packed one by one.
     Empty table: empty. Other columns are dropped.
     """
+    bound_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
-    key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(groups)).cast("long")
+    key = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)), F.lit(groups)).cast("long")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), key.alias("grp"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,8 +114,7 @@ WITH t AS (
   FROM segments WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text)
 )
 SELECT conv_id, perspective, pos, speaker, shown_as, name, segment, "end" - size AS "start", "end",
-       CASE WHEN shown_as = 'assistant' THEN "end" - size + length(head) END AS mask_start,
-       CASE WHEN shown_as = 'assistant' THEN "end" END AS mask_end
+       CASE WHEN shown_as = 'assistant' THEN "end" - size + length(head) ELSE "end" END AS mask_start, "end" AS mask_end
 FROM placed
 """
 

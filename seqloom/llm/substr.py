@@ -188,7 +188,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> D
     n_words, n_removed and kept_sha256 (of kept words joined by one space)
     instead of the columns of ``docs``.
 
-    Null text: no words; it stays null. Texts of fewer than ``length`` words
+    Null text: no words; it stays null. Null doc_id: known by its text. Texts of fewer than ``length`` words
     stay. Equal rows repeat each other and lose all that is long enough. Very
     long texts are taken whole. Empty table: empty. All columns of ``docs``
     stay as they are but text.
@@ -198,7 +198,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> D
     found = found.select(F.col("doc_id").alias(key), F.col("th").alias(th), F.col("runs").alias(runs))
     cols = ["doc_id", "text"] if digest else docs.columns
     left = docs.select(*[F.col(f"`{c}`") for c in cols]).withColumn(th + "_", F.hash("text"))
-    both = left.join(found, (F.col("doc_id").cast("long") == F.col(key)) & (F.col(th + "_") == F.col(th)), "left").select(*[F.col(f"`{c}`") for c in cols], runs)
+    both = left.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(th + "_") == F.col(th)), "left").select(*[F.col(f"`{c}`") for c in cols], runs)
     both = both.withColumn("text", F.col("text").cast("binary"))
     text_at, id_at = cols.index("text"), cols.index("doc_id")
 

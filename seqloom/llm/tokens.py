@@ -18,13 +18,16 @@ CACHE = 500_000
 
 
 def vocabulary(path: str) -> tuple[list[str], list[str]]:
-    """Pieces that begin a word, and those that go on with one, of a piece model: the mark of a word's begin tells which."""
+    """Pieces that begin a word, and those that go on with one, of a piece model: the mark of a word's begin tells which.
+
+    The mark alone is the empty piece: a word may begin with it and go on with any other.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
     pieces = [model.id_to_piece(i) for i in plain]
-    first = [p[1:] for p in pieces if p[0] == "▁" and "▁" not in p[1:] and len(p) > 1]
+    first = [p[1:] for p in pieces if p[0] == "▁" and "▁" not in p[1:]]
     return first, [p for p in pieces if "▁" not in p]
 
 
@@ -52,6 +55,8 @@ class Automaton:
                 ends[at] = True
         n = len(self.next)
         self.link, self.pops = [-1] * n, [0] * n
+        if ends[0]:
+            self.link[0], self.pops[0] = 1, 1
         todo = deque([0, 1])
         while todo:  # by depth, so links of shorter strings are there
             u = todo.popleft()
@@ -60,12 +65,12 @@ class Automaton:
                 if ends[v]:
                     self.link[v], self.pops[v] = 1, 1
                     continue
-                z, popped = self.link[u], self.pops[u]
+                z, gone = self.link[u], self.pops[u]
                 while z >= 0 and c not in self.next[z]:
-                    popped += self.pops[z]
+                    gone += self.pops[z]
                     z = self.link[z]
                 if z >= 0:
-                    self.link[v], self.pops[v] = self.next[z][c], popped
+                    self.link[v], self.pops[v] = self.next[z][c], gone
 
     def count(self, word: str) -> int:
         """Pieces of the word by greedy longest match; -1 if it cannot be written so."""

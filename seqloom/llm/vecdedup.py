@@ -122,14 +122,14 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, seed: int = 3) -> DataF
     is about 1e-6, and less above it.
 
     Null labels, null or zero vectors and those with null or non-finite
-    components: n_links 0, a component of their own. Vectors of another length
+    components: n_links 0, a component of their own. Null vec_id: the same, null. Vectors of another length
     than their label's others are compared among themselves. Repeated rows are
     vectors of their own. Empty table: empty. Other columns are dropped.
     """
     spark = df.sparkSession
     bound_batches(spark)
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("string").alias("label"))
-    fit = F.col("label").isNotNull() & valid()
+    fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & valid()
     whole = rows.filter(fit).withColumn("label", F.concat_ws("|", F.size("embedding").cast("string"), "label"))
     classes = stage(whole.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), "classes")
     # The rep stands for its class only within its label and vector: repeated vec_ids cannot mix classes.
