@@ -249,7 +249,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("ce"), F.lit(True).alias("rejected"))
     out = _cross_entropies(docs, model, ["doc_id"])
     names = F.array(*[F.lit(x) for x in model.langs])
-    return out.select("doc_id", F.coalesce(F.element_at(names, F.col("__best") + 1), F.lit("und")).alias("lang_pred"), F.coalesce("__score", F.lit(0.0)).alias("score"), F.col("__ce").alias("ce"), F.coalesce("__beyond", F.lit(True)).alias("rejected"))
+    return out.select("doc_id", F.when(F.col("__best").isNull(), "und").otherwise(F.get(names, F.col("__best"))).alias("lang_pred"), F.coalesce("__score", F.lit(0.0)).alias("score"), F.col("__ce").alias("ce"), F.coalesce("__beyond", F.lit(True)).alias("rejected"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -266,4 +266,4 @@ def keep_known(docs: DataFrame) -> DataFrame:
     safe = plain_names(docs, "doc_id", "text", "lang")
     out = _cross_entropies(safe, model, safe.columns).filter(~F.coalesce("__beyond", F.lit(True)))
     names = F.array(*[F.lit(x) for x in model.langs])
-    return out.withColumn("lang", F.coalesce("lang", F.element_at(names, F.col("__best") + 1))).select(*safe.columns).toDF(*docs.columns)
+    return out.withColumn("lang", F.coalesce("lang", F.get(names, F.col("__best")))).select(*safe.columns).toDF(*docs.columns)
