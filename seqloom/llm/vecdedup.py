@@ -15,13 +15,13 @@ from ._store import bound_batches, stage
 #: Projections that are counted, and the chance to miss a pair at the threshold by its count and by its cells.
 PROJECTIONS, MISS_COUNT, MISS_CELLS = 32, 1e-7, 1e-6
 #: Cell width and window half-width in deviations of a projected difference at the threshold.
-CELL, WINDOW = 4.0, 2.0
+CELL, WINDOW = 8.0, 2.0
 #: Half-width, in the same deviations, of the window of the sorted projection; beyond it no pair is counted.
 REACH = 5.5
 #: A projection of a unit vector, N(0, 1), is kept in a byte: so wide is a step.
 STEP = 10 / 256
-#: Members of a cell that are compared at once; larger cells go in blocks. Members that a cell has about.
-TILE, CELL_ROWS = 512, 256
+#: Members of a cell that are compared at once; larger cells go in blocks. Members that a cell has about. Members of smaller cells that go to Python together.
+TILE, CELL_ROWS, BUNDLE = 512, 128, 8192
 
 
 def valid(v: str = "embedding"):
@@ -88,6 +88,41 @@ def linked(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, cx: np.
     return cat([a for a, _ in out]), cat([b for _, b in out])
 
 
+def linked_in_cells(x: np.ndarray, p: np.ndarray, cells: np.ndarray, cell: np.ndarray, turn: np.ndarray, window: float, least: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that linked() would give within each of many small cells.
+
+    Rows stand by falling size of their cells and within one by the first
+    projection; each is compared with the one s places on, for s = 1, 2, ...
+    Only cells with more than s members are left by then, and they come first.
+    """
+    w, reach = np.uint8(min(127, np.ceil(window / STEP) + 1)), int(np.ceil(REACH / WINDOW * window / STEP)) + 1
+    _, inverse, sizes = np.unique(cell, return_inverse=True, return_counts=True)
+    order = np.lexsort((p[:, 0], inverse, -sizes[inverse]))
+    of, size = inverse[order], sizes[inverse][order]
+    q = np.ascontiguousarray(p[order].T)
+    first = q[0].astype(np.int16)
+    pairs = []
+    for s in range(1, int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -s, "left"))  # rows of cells with more than s members
+        near = ((q[:, : n - s] - q[:, s:n] + w) <= 2 * w).sum(0, dtype=np.uint8) >= least
+        i = np.flatnonzero(near)
+        i = i[(of[i] == of[i + s]) & (first[i + s] - first[i] <= reach)]
+        if len(i):
+            pairs.append((order[i], order[i + s]))
+    cat = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
+    a, b = cat([i for i, _ in pairs]), cat([k for _, k in pairs])
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+    earlier = np.arange(cells.shape[1])
+    keep = []
+    for at in range(0, len(a), 20_000):
+        i, k = a[at : at + 20_000], b[at : at + 20_000]
+        some = np.flatnonzero(np.einsum("ij,ij->i", x[i], x[k]) / (norm[i] * norm[k]) >= cosine)
+        i, k = i[some], k[some]
+        keep.append(at + some[~((cells[i] == cells[k]) & (earlier < turn[i][:, None])).any(1)])
+    kept = cat(keep)
+    return a[kept], b[kept]
+
+
 def roots(n: int, a: list[int], b: list[int]) -> list[int]:
     """Smallest number that each of 0..n-1 reaches by pairs (a, b)."""
     up = list(range(n))
@@ -114,7 +149,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, seed: int = 3) -> DataF
     projections; within a cell all 1-D projections are compared by windows
     centred on each member, collisions are counted, and pairs with enough of
     them are verified in double precision. A pair is counted in the first round
-    that brings it together. Tasks put out, for each member, the sum of its
+    that brings it together. Small cells go to Python many at once. Tasks put out, for each member, the sum of its
     partners' multiplicities and one tie to the cell's components: never pairs.
     Large cells are compared in blocks, all against all. The number of
     projections in a cell follows the largest label, so cells stay small and the
@@ -134,8 +169,9 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, seed: int = 3) -> DataF
     classes = stage(whole.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), "classes")
     # The rep stands for its class only within its label and vector: repeated vec_ids cannot mix classes.
     member = whole.join(classes, ["label", "embedding"]).select("vec_id", "rep", "many")
-    top = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    g, rounds, sigma = plan(top, cosine)
+    top, total = classes.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
+    g, rounds, sigma = plan(top or 0, cosine)
+    bundles = max(1, -(-(total or 0) * rounds // BUNDLE))
     window = WINDOW * sigma
     from statistics import NormalDist
 
@@ -165,17 +201,24 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, seed: int = 3) -> DataF
     spread = base.select("*", F.posexplode("cells").alias("turn", "cell")).join(sizes, ["label", "turn", "cell"])
     spread = spread.withColumn("blocks", F.ceil(F.col("m") / TILE).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("label", "turn", "cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "many", "vec", "proj", "cells")
+    # A small cell goes with others; a large one is known by itself, and so is each pair of its blocks.
+    name = F.xxhash64("label", "turn", "cell")
+    spread = spread.withColumn("name", name).withColumn("bundle", F.when(F.col("blocks") == 1, F.pmod("name", F.lit(bundles))).otherwise(-1))
+    spread = spread.withColumn("large", F.when(F.col("blocks") > 1, F.struct("label", "turn", "cell")))
+    spread = spread.select(F.length("vec").alias("width"), "bundle", "large", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "name", "turn", "rep", "many", "vec", "proj", "cells")
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         own, rep, many = (t.column(c).to_numpy() for c in ("own", "rep", "many"))
         wide = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(len(own), -1)
         x, p, cells = wide("vec", np.float32).astype(np.float64), wide("proj", np.uint8), t.column("cells").combine_chunks().flatten().to_numpy().reshape(len(own), -1)
-        a, b, turn = t.column("a")[0].as_py(), t.column("b")[0].as_py(), t.column("turn")[0].as_py()
-        left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
-        i, k = linked(x[left], x[right], p[left], p[right], cells[left], cells[right], a == b, turn, window, least, cosine)
-        i, k = left[i], right[k]
+        a, b, turn = t.column("a")[0].as_py(), t.column("b")[0].as_py(), t.column("turn").to_numpy()
+        if t.column("bundle")[0].as_py() >= 0:
+            i, k = linked_in_cells(x, p, cells, t.column("name").to_numpy(), turn, window, least, cosine)
+        else:
+            left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
+            i, k = linked(x[left], x[right], p[left], p[right], cells[left], cells[right], a == b, int(turn[0]), window, least, cosine)
+            i, k = left[i], right[k]
         links = np.bincount(i, many[k], len(own)) + np.bincount(k, many[i], len(own))
         order = np.argsort(rep, kind="stable")
         rank = np.empty(len(order), np.int64)
@@ -185,7 +228,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, seed: int = 3) -> DataF
         some = np.flatnonzero(links > 0)
         return pa.table({"id": pa.array(rep[some]), "links": pa.array(links[some].astype(np.int64)), "hub": pa.array(hub[some])})
 
-    found = stage(spread.groupBy("label", "turn", "cell", "a", "b").applyInArrow(compare, "id long, links long, hub long"), "found")
+    found = stage(spread.groupBy("width", "bundle", "large", "a", "b").applyInArrow(compare, "id long, links long, hub long"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(found.filter("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")))
     done = member.join(links, F.col("rep") == F.col("id"), "left").drop("id").join(comps, F.col("rep") == F.col("id"), "left")
