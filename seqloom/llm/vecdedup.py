@@ -21,7 +21,9 @@ REACH = 5.5
 #: A projection of a unit vector, N(0, 1), is kept in a byte: so wide is a step.
 STEP = 10 / 256
 #: Members of a cell that are compared at once; larger cells go in blocks. Members that a cell has about. Members of smaller cells that go to Python together.
-TILE, CELL_ROWS, BUNDLE = 512, 128, 8192
+TILE, CELL_ROWS, BUNDLE = 512, 256, 8192
+#: Rows of the table of large cells up to which it is broadcast; beyond, it is joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
 def valid(v: str = "embedding"):
@@ -197,9 +199,10 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, seed: int = 3) -> DataF
 
     base = stage(classes.select("rep", "label", "embedding", "many").mapInArrow(project, "rep long, label string, vec binary, many long, proj binary, cells array<int>"), "projected")
     cells = base.select("label", F.posexplode("cells").alias("turn", "cell"))
-    sizes = cells.groupBy("label", "turn", "cell").agg(F.count("*").alias("m")).filter("m > 1")
-    spread = base.select("*", F.posexplode("cells").alias("turn", "cell")).join(sizes, ["label", "turn", "cell"])
-    spread = spread.withColumn("blocks", F.ceil(F.col("m") / TILE).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    sizes = stage(cells.groupBy("label", "turn", "cell").agg(F.count("*").alias("m")).filter(F.col("m") > TILE), "large-cells")
+    few = sizes.count() <= MOST_BROADCAST
+    spread = base.select("*", F.posexplode("cells").alias("turn", "cell")).join(F.broadcast(sizes) if few else sizes, ["label", "turn", "cell"], "left")
+    spread = spread.withColumn("blocks", F.coalesce(F.ceil(F.col("m") / TILE), F.lit(1)).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     # A small cell goes with others; a large one is known by itself, and so is each pair of its blocks.
     name = F.xxhash64("label", "turn", "cell")
