@@ -200,7 +200,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, calibrate_docs: int = CALIBRA
 
 
 def _cross_entropies(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """keep..., __best (place of the language), __ce, __own (cross-entropy in the language named by column lang, if there), __score, __beyond. Nulls without a letter."""
+    """keep..., __best (the language), __ce, __own (cross-entropy in the language named by column lang, if there), __score, __beyond. Nulls without a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,13 +224,13 @@ def _cross_entropies(docs: DataFrame, model: Model, keep: list[str]) -> DataFram
                 own = np.array([ce[i, place[x]] if x in place else np.nan for i, x in enumerate(b.column(keep.index("lang")).to_pylist())], float)
             limit = np.array([scorer.model.limits[x] for x in langs])[best] if len(ce) else low
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(keep)], pa.array(best, pa.int32(), mask=none), pa.array(low, pa.float64(), mask=none), pa.array(own, pa.float64(), mask=none), pa.array(score, pa.float64(), mask=none), pa.array(low > limit, pa.bool_(), mask=none)],
+                [*b.columns[: len(keep)], pa.array(np.array(langs, object)[best], pa.string(), mask=none), pa.array(low, pa.float64(), mask=none), pa.array(own, pa.float64(), mask=none), pa.array(score, pa.float64(), mask=none), pa.array(low > limit, pa.bool_(), mask=none)],
                 names=[*keep, "__best", "__ce", "__own", "__score", "__beyond"],
             )
 
     slim = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else ["text"]))
     text_at = slim.columns.index("text")
-    more = [T.StructField("__best", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("__ce", "__own", "__score")], T.StructField("__beyond", T.BooleanType())]
+    more = [T.StructField("__best", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("__ce", "__own", "__score")], T.StructField("__beyond", T.BooleanType())]
     return slim.mapInArrow(run, T.StructType([*slim.schema.fields[: len(keep)], *more]))
 
 
@@ -248,8 +248,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("ce"), F.lit(True).alias("rejected"))
     out = _cross_entropies(docs, model, ["doc_id"])
-    names = F.array(*[F.lit(x) for x in model.langs])
-    return out.select("doc_id", F.when(F.col("__best").isNull(), "und").otherwise(F.get(names, F.col("__best"))).alias("lang_pred"), F.coalesce("__score", F.lit(0.0)).alias("score"), F.col("__ce").alias("ce"), F.coalesce("__beyond", F.lit(True)).alias("rejected"))
+    return out.select("doc_id", F.coalesce("__best", F.lit("und")).alias("lang_pred"), F.coalesce("__score", F.lit(0.0)).alias("score"), F.col("__ce").alias("ce"), F.coalesce("__beyond", F.lit(True)).alias("rejected"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -265,5 +264,4 @@ def keep_known(docs: DataFrame) -> DataFrame:
         return docs.limit(0)
     safe = plain_names(docs, "doc_id", "text", "lang")
     out = _cross_entropies(safe, model, safe.columns).filter(~F.coalesce("__beyond", F.lit(True)))
-    names = F.array(*[F.lit(x) for x in model.langs])
-    return out.withColumn("lang", F.coalesce("lang", F.get(names, F.col("__best")))).select(*safe.columns).toDF(*docs.columns)
+    return out.withColumn("lang", F.coalesce("lang", "__best")).select(*safe.columns).toDF(*docs.columns)
