@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +48,19 @@ def plain_names(df: DataFrame, *known: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(c if c in known else f"c{i}_") for i, c in enumerate(df.columns)])
 
 
-def bound_batches(spark: SparkSession, size: str = "16m") -> None:
+def returning(run: Callable) -> Callable:
+    """``run`` for mapInArrow, which at its end gives free memory back: workers live on, and other stages need it."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
     """Arrow batches to Python by bytes as well as by rows, so that long texts do not fill a worker."""
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

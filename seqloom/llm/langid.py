@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
-from ._store import bound_batches, plain_names
+from ._store import bound_batches, plain_names, returning
 
 #: Labelled documents of a language that the model is fitted on, and those that its rejection is calibrated on.
 FIT_DOCS, CALIBRATE_DOCS, ORDER, ALPHABET = 400, 100, 5, 512
 #: A document is rejected beyond this much of the largest cross-entropy among its language's calibration documents.
-SLACK, SHARPNESS, CACHE = 1.15, 8.0, 300_000
+SLACK, SHARPNESS, CACHE = 1.15, 8.0, 150_000
+#: Words that are scored at once.
+AT_ONCE = 20_000
 U64 = np.uint64
 
 
@@ -139,7 +141,8 @@ class Scorer:
             block[:] = 0
             if spoken:
                 some = [words[j] for j in spoken]
-                block[spoken, :n_langs] = self.model.score(some)
+                for j in range(0, len(some), AT_ONCE):
+                    block[spoken[j : j + AT_ONCE], :n_langs] = self.model.score(some[j : j + AT_ONCE])
                 block[spoken, n_langs] = np.fromiter(map(len, some), np.float32, len(some)) + 1
             for j, i in enumerate(new):
                 self.slots[names[i]] = self.used + j
@@ -187,7 +190,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, calibrate_docs: int = CALIBRA
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
     words: dict[str, dict[str, int]] = {}
-    found = sample.filter(F.col("u") < F.col("share") * cut).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    found = sample.filter(F.col("u") < F.col("share") * cut).select("lang", "text").mapInArrow(returning(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     for lang, part_ in found.toPandas().groupby("lang"):
         words[lang] = dict(zip(part_["word"].tolist(), part_["n"].tolist()))
     if not words:
@@ -231,7 +234,7 @@ def _cross_entropies(docs: DataFrame, model: Model, keep: list[str]) -> DataFram
     slim = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else ["text"]))
     text_at = slim.columns.index("text")
     more = [T.StructField("__best", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("__ce", "__own", "__score")], T.StructField("__beyond", T.BooleanType())]
-    return slim.mapInArrow(run, T.StructType([*slim.schema.fields[: len(keep)], *more]))
+    return slim.mapInArrow(returning(run), T.StructType([*slim.schema.fields[: len(keep)], *more]))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._graph import components
-from ._store import bound_batches, stage
+from ._store import bound_batches, returning, stage
 
 U64 = np.uint64
 BANDS, BAND_ROWS = 24, 4
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 )
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    out = slim.mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary")
+    out = slim.mapInArrow(returning(run), "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary")
     return out.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key")))
 
 
@@ -125,7 +125,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
     one = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
     two = one.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
-    return two.select("u", "v", "text_v", "text_u").mapInArrow(run, "u long, v long")
+    return two.select("u", "v", "text_v", "text_u").mapInArrow(returning(run), "u long, v long")
 
 
 def bitmaps(texts: DataFrame, k: int) -> DataFrame:
@@ -144,7 +144,7 @@ def bitmaps(texts: DataFrame, k: int) -> DataFrame:
                     out.append(np.packbits(bits, bitorder="little").tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array(out, pa.binary())], names=["id", "bits"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, bits binary")
+    return texts.select("id", "text").mapInArrow(returning(run), "id long, bits binary")
 
 
 def _folded(bits: np.ndarray, size: int) -> np.ndarray:

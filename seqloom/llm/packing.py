@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._store import bound_batches
+from ._store import bound_batches, returning
 
 CAPACITY, END_ID, GROUP_DOCS, LEAST_GAP = 4096, 2, 1024, 16
 #: A worker keeps ids of up to twice so many words: of this generation, and those of the last.
-CACHE = 400_000
+CACHE = 200_000
 
 
 class Encoder:
@@ -220,6 +220,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
         kinds = {"ids": pa.binary()}
         return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
-    cut = slim.mapInArrow(tokens, "grp long, doc_id long, start long, length long, crc long, doc_tokens long, ids binary")
+    cut = slim.mapInArrow(returning(tokens), "grp long, doc_id long, start long, length long, crc long, doc_tokens long, ids binary")
     out = cut.groupBy("grp").applyInArrow(one_group, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
     return out if with_ids else out.drop("ids")

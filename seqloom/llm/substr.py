@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
-from ._store import bound_batches, free_name, stage
+from ._store import bound_batches, free_name, returning, stage
 
 U64 = np.uint64
 #: Words of an anchor. A window of n words picks the smallest of its n - ANCHOR + 1 anchors.
@@ -78,7 +78,7 @@ def _common(rows: DataFrame, length: int, tasks: int) -> list[int]:
             for _, _, buf, offsets in W.pieces(b.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(seeds(buf, offsets, length)[1])], names=["anchor"])
 
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "anchor long")
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SAMPLE)) == 0).select("text").mapInArrow(returning(run), "anchor long")
     counts = sample.groupBy("anchor").agg(F.count("*").alias("n"))
     counts = stage(counts.filter("n >= 8").unionAll(sample.agg(F.lit(None).cast("long"), F.count("*"))), "anchors")
     total = counts.filter("anchor IS NULL").first()["n"]
@@ -169,8 +169,8 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
         out = [pa.array(anchor[rows]), pa.array(window), pa.array(n), t.column("doc_id").take(at), t.column("th").take(at), pa.array(place), pa.array(masks)]
         yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out], names=["anchor", "h", "n", "doc_id", "th", "s0", "mask"])
 
-    spread = rows.mapInArrow(emit, "anchor long, salt int, doc_id long, th int, s0 int, hs binary")
-    met = spread.repartition(tasks, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(meet, "anchor long, h long, n int, doc_id long, th int, s0 int, mask long")
+    spread = rows.mapInArrow(returning(emit), "anchor long, salt int, doc_id long, th int, s0 int, hs binary")
+    met = spread.repartition(tasks, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(returning(meet), "anchor long, h long, n int, doc_id long, th int, s0 int, mask long")
     met = stage(met, "repeats")
     single = met.filter("n > 0")
     again = single.groupBy("anchor", "h").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", "h")
@@ -237,6 +237,6 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> D
                 yield pa.RecordBatch.from_arrays([*b.columns[:text_at], pa.array(out, pa.binary()), *b.columns[text_at + 1 : len(cols)]], names=cols)
 
     if digest:
-        return both.mapInArrow(run, T.StructType([both.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]))
-    out = both.mapInArrow(run, T.StructType(both.schema.fields[: len(cols)]))
+        return both.mapInArrow(returning(run), T.StructType([both.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]))
+    out = both.mapInArrow(returning(run), T.StructType(both.schema.fields[: len(cols)]))
     return out.withColumn("text", F.col("text").cast("string"))

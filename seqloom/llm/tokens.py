@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._store import bound_batches
+from ._store import bound_batches, returning
 
 #: A worker keeps counts of up to twice so many words.
-CACHE = 500_000
+CACHE = 200_000
 
 
 def vocabulary(path: str) -> tuple[list[str], list[str]]:
@@ -135,4 +135,4 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array(np.diff(first), pa.int64()), pa.array(total(np.where(one < 0, 1, one)), pa.int64()), pa.array(total((one < 0).astype(np.int64)), pa.int64())], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return slim.mapInArrow(returning(run), "doc_id long, n_words long, n_tokens long, n_unknown long")
