@@ -636,6 +636,65 @@ def geo_polygon_intersection_all(spark, d):
     return out.select(F.round(geometry.ring_area("ring")).cast("long").alias("area"))
 
 
+# The six geometry queries again, over all orders. Each 2,000 ids have a field of the plane of their own, so the plane grows with the ids and boxes of two fields never meet.
+
+FIELD = 2000
+BOXES_WHOLE = f"SELECT o_orderkey AS id, o_orderkey // {FIELD} * 128 + o_custkey % 97 AS minx, o_orderkey % 89 AS miny, o_orderkey // {FIELD} * 128 + o_custkey % 97 + 1 + o_orderkey % 7 AS maxx, o_orderkey % 89 + 1 + o_custkey % 5 AS maxy FROM orders"
+
+
+def _boxes_whole(spark, d):
+    k, c = F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")
+    x, y = F.floor(k / FIELD) * 128 + c % 97, k % 89
+    return orders(spark, d).df.select(k.alias("id"), x.alias("minx"), y.alias("miny"), (x + 1 + k % 7).alias("maxx"), (y + 1 + c % 5).alias("maxy"))
+
+
+def _ring():
+    x, y, X, Y = (F.col(c).cast("double") for c in ("minx", "miny", "maxx", "maxy"))
+    p = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    return F.array(p(x, y), p(X, y), p(X, Y), p(x, Y))
+
+
+@query(f"SELECT max(minx) AS minx, max(miny) AS miny, min(maxx) AS maxx, min(maxy) AS maxy, max(minx) >= min(maxx) OR max(miny) >= min(maxy) AS empty FROM ({BOXES_WHOLE})")
+def geo_box_intersection_whole(spark, d):
+    return geometry.box_intersection(_boxes_whole(spark, d), "minx", "miny", "maxx", "maxy")
+
+
+AREA_WHOLE = f"SELECT count(*) AS area FROM (SELECT DISTINCT x, unnest(range(miny, maxy)) AS y FROM (SELECT unnest(range(minx, maxx)) AS x, miny, maxy FROM ({BOXES_WHOLE})))"
+
+
+@query(AREA_WHOLE)
+def geo_box_union_area_whole(spark, d):
+    return geometry.box_union_area(_boxes_whole(spark, d))
+
+
+@query(f"WITH b AS ({BOXES_WHOLE}) SELECT a.id AS a_id, b.id AS b_id, greatest(a.minx, b.minx) AS minx, greatest(a.miny, b.miny) AS miny, least(a.maxx, b.maxx) AS maxx, least(a.maxy, b.maxy) AS maxy FROM b a JOIN b ON a.id // {FIELD} = b.id // {FIELD} AND a.id < b.id AND a.minx < b.maxx AND b.minx < a.maxx AND a.miny < b.maxy AND b.miny < a.maxy")
+def geo_box_overlaps_whole(spark, d):
+    b = _boxes_whole(spark, d)
+    return geometry.box_overlaps(b, b, 8).filter("a_id < b_id")
+
+
+@query(AREA_WHOLE)
+def geo_polygon_union_whole(spark, d):
+    pieces = geometry.union_all(_boxes_whole(spark, d).select(_ring().alias("ring")), "ring", 8.0)
+    return pieces.agg(F.round(F.coalesce(F.sum(geometry.ring_area("piece")), F.lit(0.0))).cast("long").alias("area"))
+
+
+@query(f"WITH b AS ({BOXES_WHOLE}) SELECT a.id, greatest(0, least(a.maxx, b.maxx) - greatest(a.minx, b.minx)) * greatest(0, least(a.maxy, b.maxy) - greatest(a.miny, b.miny)) AS area FROM b a JOIN b ON b.id = a.id + 89")
+def geo_polygon_intersection_whole(spark, d):
+    r = _boxes_whole(spark, d).select("id", _ring().alias("ring"))
+    both = r.select("id", F.col("ring").alias("a")).join(r.select((F.col("id") - 89).alias("id"), F.col("ring").alias("b")), "id")
+    return geometry.intersection(both, "a", "b").select("id", F.round(geometry.ring_area("ring")).cast("long").alias("area"))
+
+
+@query("SELECT greatest(0, min(200 + o_orderkey % 7) - max(o_custkey % 97)) * greatest(0, min(200 + o_custkey % 5) - max(o_orderkey % 89)) AS area FROM orders")
+def geo_polygon_intersection_all_whole(spark, d):
+    """Boxes that all hold a common middle, so that no task can stop early."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    wide = orders(spark, d).df.select((c % 97).alias("minx"), (k % 89).alias("miny"), (200 + k % 7).alias("maxx"), (200 + c % 5).alias("maxy"))
+    out = geometry.intersection_all(wide.select(_ring().alias("ring")), "ring")
+    return out.select(F.round(geometry.ring_area("ring")).cast("long").alias("area"))
+
+
 # The flagship
 
 
