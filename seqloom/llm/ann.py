@@ -109,6 +109,25 @@ class Index:
                     heapq.heappush(heap, (d2, j))
         return [i for i, d in found.items() if d <= best * self.ratio]
 
+    def cover(self, q: np.ndarray, sizes: np.ndarray, need: int) -> list[int]:
+        """Lists to search so that they are home to ``need`` ids at least, or all lists if there are not so many.
+
+        Where search() finds too few, as for a vector that is all of its own
+        list, the ratio counts from the farthest list that the ids take.
+        ``sizes``: for each list the ids whose nearest list it is, so copies in
+        further lists do not count twice.
+        """
+        found = self.search(q)
+        if sizes[found].sum() >= need:
+            return found
+        d = np.sqrt(np.maximum(2 - 2 * (self.centroids @ q), 0))
+        order = np.argsort(d, kind="stable")
+        last = np.searchsorted(np.cumsum(sizes[order]), need)
+        if last >= len(order) or np.isinf(self.ratio):
+            return np.flatnonzero(sizes).tolist()
+        near = np.flatnonzero((d <= d[order[last]] * max(self.ratio, 1.0)) & (sizes > 0)).tolist()
+        return sorted({*found, *order[: last + 1].tolist(), *near})
+
 
 def nearest(df: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest rows of each query by cosine; the query's own row is no candidate.
@@ -118,8 +137,9 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     vec_ids, which is all that any query can need. Lists are cut in blocks of
     about TILE members and queries of a list in blocks of QUERY_TILE, so a very
     full list is many tasks. Each task keeps k for each query, in double
-    precision; ties go to the smaller vec_id. Centroids (at most MOST_LISTS) and
-    the sizes of lists are all that is broadcast.
+    precision; ties go to the smaller vec_id. A query whose lists are home to
+    fewer than k others goes on to the next nearest lists. Centroids (at most
+    MOST_LISTS) and the sizes of lists are all that is broadcast.
 
     Null or zero vectors and those with null or non-finite components take no
     part. Vectors of another length than the most common are compared only with
@@ -156,13 +176,14 @@ def _search(members: DataFrame, queries: DataFrame, index: Index, k: int) -> Dat
         index = shared.value
         for b in batches:
             x = np.array(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
-            rows, lists = [], []
+            rows, lists, first = [], [], []
             for at in range(0, len(x), 1024):
                 for i, own in enumerate(index.homes(distances(unit(x[at : at + 1024]), index.centroids))):
                     rows += [at + i] * len(own)
                     lists += own
+                    first += [True] + [False] * (len(own) - 1)
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), b.column(0).take(take), b.column(1).take(take)], names=["list", "ids", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), b.column(0).take(take), b.column(1).take(take), pa.array(first, pa.bool_())], names=["list", "ids", "embedding", "first"])
 
     def to_probes(batches):
         index = shared.value
@@ -170,13 +191,17 @@ def _search(members: DataFrame, queries: DataFrame, index: Index, k: int) -> Dat
             x = unit(np.array(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1))
             rows, lists = [], []
             for i, q in enumerate(x):
-                own = index.search(q)
+                own = index.cover(q, sizes.value, k + 1)  # the query's own id may be one
                 rows += [i] * len(own)
                 lists += own
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), b.column(0).take(take), b.column(1).take(take)], names=["list", "query_id", "embedding"])
 
-    posting = stage(members.select("ids", "embedding").mapInArrow(to_lists, "list int, ids array<long>, embedding array<float>"), "posting")
+    posting = stage(members.select("ids", "embedding").mapInArrow(to_lists, "list int, ids array<long>, embedding array<float>, first boolean"), "posting")
+    home = np.zeros(len(index.centroids), np.int64)
+    for r in posting.filter("first").groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():
+        home[r["list"]] = r["n"]
+    sizes = members.sparkSession.sparkContext.broadcast(home)
     probes = stage(queries.dropDuplicates(["vec_id"]).select("vec_id", "embedding").mapInArrow(to_probes, "list int, query_id long, embedding array<float>"), "probes")
     # One row a list: at most MOST_LISTS.
     full = posting.groupBy("list").agg(F.ceil(F.count("*") / TILE).cast("long").alias("blocks"))
