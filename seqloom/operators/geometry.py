@@ -1,8 +1,10 @@
 """Union and intersection of polygons.
 
-Axis-aligned boxes need no Python. Convex polygons are clipped exactly; unions
-of any simple polygons are kept as sets of disjoint convex pieces, which is what
-area and membership need.
+Axis-aligned boxes need no Python. Convex rings are clipped exactly. Any other
+polygon, concave or with holes, is first cut into disjoint convex pieces, and
+results that need not be convex are sets of such pieces, which is what area and
+membership need. A polygon is a ring, or an array of rings of which the inside
+is what an odd number of them hold: the outer ring, then its holes.
 """
 
 from __future__ import annotations
@@ -106,26 +108,105 @@ def _near(p: list[Point], q: list[Point]) -> bool:
 
 
 def _points(ring) -> list[Point]:
+    """Counter-clockwise, without points that repeat the one before, as closed rings do."""
     out = [(r["x"], r["y"]) for r in ring]
+    out = [p for p, q in zip(out, out[-1:] + out[:-1]) if p != q]
     return out if area(out) > 0 else out[::-1]
 
 
+def is_convex(ring: list[Point]) -> bool:
+    """Of a counter-clockwise ring: no turn to the right, and once around."""
+    if len(ring) < 3:
+        return False
+    ahead = ring[1:] + ring[:1]
+    for a, b, c in zip(ring, ahead, ahead[1:] + ahead[:1]):
+        s, t = (b[0] - a[0]) * (c[1] - b[1]), (b[1] - a[1]) * (c[0] - b[0])
+        if s - t < -1e-12 * (abs(s) + abs(t)):  # points on a line may be rounded
+            return False
+    up = [p < q for p, q in zip(ring, ahead)]
+    return sum(a != b for a, b in zip(up, up[1:] + up[:1])) == 2
+
+
+def convex_pieces(rings: list[list[Point]]) -> list[list[Point]]:
+    """Disjoint convex pieces of what an odd number of rings hold: trapezoids between neighbouring corners' and crossings' x."""
+    rings = [r for r in rings if len(r) > 2]
+    if len(rings) == 1 and is_convex(rings[0]):
+        return rings
+    edges = sorted((min(p, q), max(p, q)) for r in rings for p, q in zip(r, r[1:] + r[:1]) if p[0] != q[0])
+    xs = {x for r in rings for x, _ in r}
+    for i, (a, b) in enumerate(edges):
+        for c, d in edges[i + 1 :]:
+            if c[0] >= b[0]:
+                break
+            e, f = (b[1] - a[1]) / (b[0] - a[0]), (d[1] - c[1]) / (d[0] - c[0])
+            if e != f:
+                x = (c[1] - f * c[0] - a[1] + e * a[0]) / (e - f)
+                if c[0] < x < min(b[0], d[0]):
+                    xs.add(x)
+    cuts, out, live, at = sorted(xs), [], [], 0
+    for x0, x1 in zip(cuts, cuts[1:]):
+        while at < len(edges) and edges[at][0][0] <= x0:
+            live.append(edges[at])
+            at += 1
+        live = [e for e in live if e[1][0] > x0]
+        y = lambda e, x: e[1][1] if x == e[1][0] else e[0][1] + (x - e[0][0]) * (e[1][1] - e[0][1]) / (e[1][0] - e[0][0])
+        here = sorted((y(e, x0) + y(e, x1), y(e, x0), y(e, x1)) for e in live)
+        for (_, a0, a1), (_, b0, b1) in zip(here[::2], here[1::2]):
+            corners = [(x0, a0), (x1, a1), (x1, b1), (x0, b0)]
+            piece = [p for p, q in zip(corners, corners[-1:] + corners[:-1]) if p != q]
+            if len(piece) > 2 and area(piece) > 1e-12:
+                out.append(piece)
+    return out
+
+
+def _polygon(value) -> list[list[Point]]:
+    """Convex pieces of a ring, or of an array of rings; none of null."""
+    if value is None or not len(value):
+        return []
+    nested = not (hasattr(value[0], "keys") or hasattr(value[0], "x"))
+    return convex_pieces([_points(r) for r in (value if nested else [value])])
+
+
+def _convex(ring) -> list[Point]:
+    """The ring of a column that must be convex; lines and points are empty."""
+    p = _points(ring)
+    if abs(area(p)) <= 1e-12:
+        return []
+    if not is_convex(p):
+        raise ValueError("the ring is not convex; use intersection_pieces or intersection_all_pieces")
+    return p
+
+
+def common_pieces(a: list[list[Point]], b: list[list[Point]]) -> list[list[Point]]:
+    return [x for p in a for q in b if _near(p, q) and (x := convex_intersection(p, q))]
+
+
 def _rows(ring: list[Point]) -> list[dict]:
     return [{"x": x, "y": y} for x, y in ring]
 
 
 def intersection(df: DataFrame, a: str, b: str, out: str = "ring") -> DataFrame:
-    """The common part of two convex rings of a row; an empty array if there is none."""
+    """The common part of two convex rings of a row; an empty array if there is none. Other rings are an error: see ``intersection_pieces``."""
 
     @F.pandas_udf(RING)
     def clip(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_rows(convex_intersection(_points(p), _points(q))) if p is not None and q is not None else [] for p, q in zip(x, y)])
+        return pd.Series([_rows(convex_intersection(_convex(p), _convex(q))) if p is not None and q is not None else [] for p, q in zip(x, y)])
+
+    return df.withColumn(out, clip(F.col(a), F.col(b)))
+
+
+def intersection_pieces(df: DataFrame, a: str, b: str, out: str = "pieces") -> DataFrame:
+    """The common part of two polygons of a row, as disjoint convex pieces."""
+
+    @F.pandas_udf(PIECES)
+    def clip(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([[_rows(r) for r in common_pieces(_polygon(p), _polygon(q))] for p, q in zip(x, y)])
 
     return df.withColumn(out, clip(F.col(a), F.col(b)))
 
 
 def union_all(df: DataFrame, ring: str, cell: float, out: str = "piece") -> DataFrame:
-    """Disjoint convex pieces whose union is that of all convex rings of the frame.
+    """Disjoint convex pieces whose union is that of all polygons of the frame.
 
     Rings are cut at a grid and each cell is united by itself, so the work is
     spread by place and pieces of different cells never overlap.
@@ -135,8 +216,8 @@ def union_all(df: DataFrame, ring: str, cell: float, out: str = "piece") -> Data
     def cells(rings: pd.Series) -> pd.Series:
         rows = []
         for r in rings:
-            p, got = _points(r) if r is not None else [], []
-            if len(p) > 2:
+            got = []
+            for p in _polygon(r):
                 for cx in range(int(min(x for x, _ in p) // cell), int(max(x for x, _ in p) // cell) + 1):
                     for cy in range(int(min(y for _, y in p) // cell), int(max(y for _, y in p) // cell) + 1):
                         square = [(cx * cell, cy * cell), ((cx + 1) * cell, cy * cell), ((cx + 1) * cell, (cy + 1) * cell), (cx * cell, (cy + 1) * cell)]
@@ -157,19 +238,19 @@ def union_all(df: DataFrame, ring: str, cell: float, out: str = "piece") -> Data
 
 
 def intersection_all(df: DataFrame, ring: str, out: str = "ring") -> DataFrame:
-    """The part common to all convex rings: partial in each task, then the partials."""
+    """The part common to all convex rings: partial in each task, then the partials. Other rings are an error: see ``intersection_all_pieces``."""
 
-    def fold(rings) -> list[Point] | None:
+    def fold(rings, check=_points) -> list[Point] | None:
         total = None
         for r in rings:
-            p = _points(r) if r is not None else []
+            p = check(r) if r is not None else []
             total = p if total is None else convex_intersection(total, p)
             if not total:
                 return []
         return total
 
     def local(batches):
-        rings = [_rows(x) for pdf in batches if (x := fold(pdf[ring])) is not None]
+        rings = [_rows(x) for pdf in batches if (x := fold(pdf[ring], _convex)) is not None]
         total = fold(rings)
         if total is not None:
             yield pd.DataFrame({out: [_rows(total)]})
@@ -180,6 +261,35 @@ def intersection_all(df: DataFrame, ring: str, out: str = "ring") -> DataFrame:
     return df.select(ring).mapInPandas(local, f"{out} {RING}").withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(final, f"{out} {RING}")
 
 
+def intersection_all_pieces(df: DataFrame, polygon: str, out: str = "pieces") -> DataFrame:
+    """The part common to all polygons, as disjoint convex pieces: partial in each task, then the partials."""
+
+    def fold(total, sets):
+        for p in sets:
+            total = p if total is None else common_pieces(total, p)
+            if not total:
+                return []
+        return total
+
+    def local(batches):
+        total = None
+        for pdf in batches:
+            total = fold(total, map(_polygon, pdf[polygon]))
+        if total is not None:
+            yield pd.DataFrame({out: [[_rows(p) for p in total]]})
+
+    def final(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({out: [[_rows(p) for p in fold(None, ([_points(r) for r in v] for v in pdf[out]))]]})
+
+    return df.select(polygon).mapInPandas(local, f"{out} {PIECES}").withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(final, f"{out} {PIECES}")
+
+
+def pieces_area(pieces: str | Column) -> Column:
+    """Area of disjoint pieces together."""
+    r = F.col(pieces) if isinstance(pieces, str) else pieces
+    return F.aggregate(F.transform(r, ring_area), F.lit(0.0), lambda s, v: s + v)
+
+
 def ring_area(ring: str | Column) -> Column:
     """Area of a ring by the shoelace formula, without Python."""
     r = F.col(ring) if isinstance(ring, str) else ring
