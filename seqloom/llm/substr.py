@@ -1,4 +1,4 @@
-"""Substring dedup: winnowed anchors as seeds, extended both ways to maximal repeats."""
+"""Substring dedup: winnowed anchors as seeds; the windows of fixed length through them are compared by hash, in place of extension to maximal repeats."""
 
 from __future__ import annotations
 
