@@ -13,9 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.order import stage
+
 RING = "array<struct<x:double,y:double>>"
 PIECES = f"array<{RING}>"
 Point = tuple[float, float]
+#: Rings that are united one by one; parts of a cell that one task unites; times that a fuller cell is quartered.
+FEW, CELL_PARTS, DEEPEST = 4, 2048, 10
 
 
 def box_intersection(df: DataFrame, minx: str, miny: str, maxx: str, maxy: str) -> DataFrame:
@@ -101,6 +105,61 @@ def union_pieces(pieces: list[list[Point]], ring: list[list[Point]]) -> list[lis
     return out
 
 
+def half(p: list[Point], axis: int, at: float, below: bool) -> list[Point]:
+    """The part of a convex ring on one side of a line along an axis."""
+    out: list[Point] = []
+    q = p[-1]
+    for r in p:
+        s, t = (at - q[axis], at - r[axis]) if below else (q[axis] - at, r[axis] - at)
+        if (s > 0 > t) or (s < 0 < t):
+            other = q[1 - axis] + (r[1 - axis] - q[1 - axis]) * s / (s - t)
+            out.append((at, other) if axis == 0 else (other, at))
+        if t >= 0:
+            out.append(r)
+        q = r
+    return out if len(out) > 2 and abs(area(out)) > 1e-12 else []
+
+
+def clip_box(p: list[Point], x0: float, y0: float, x1: float, y1: float) -> list[Point]:
+    """The part of a convex ring in a box; the ring itself where it lies inside."""
+    xs, ys = [x for x, _ in p], [y for _, y in p]
+    for axis, low, high, least, most in ((0, min(xs), max(xs), x0, x1), (1, min(ys), max(ys), y0, y1)):
+        if high <= least or low >= most:
+            return []
+        if low < least:
+            p = half(p, axis, least, False)
+        if p and high > most:
+            p = half(p, axis, most, True)
+        if not p:
+            return []
+    return p
+
+
+def unite_box(rings: list[list[Point]], x0: float, y0: float, x1: float, y1: float, depth: int = 12) -> list[list[Point]]:
+    """Disjoint convex pieces of the union of convex rings inside a box, by quarters of the box.
+
+    A box that one ring covers is done, whatever else is there; few rings are
+    united one by one; else the quarters are united by themselves. So the work
+    follows the outlines in the box, not the square of the number of rings.
+    """
+    whole = (x1 - x0) * (y1 - y0)
+    if any(area(r) >= whole * (1 - 1e-12) for r in rings):
+        return [[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]]
+    if len(rings) <= FEW or depth == 0:
+        out: list[list[Point]] = []
+        for r in rings:
+            out = union_pieces(out, [r])
+        return out
+    mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+    out, full = [], 0
+    for box in ((x0, y0, mx, my), (mx, y0, x1, my), (x0, my, mx, y1), (mx, my, x1, y1)):
+        part = [c for r in rings if (c := clip_box(r, *box))]
+        got = unite_box(part, *box, depth - 1) if part else []
+        full += len(got) == 1 and area(got[0]) >= whole / 4 * (1 - 1e-12)
+        out += got
+    return [[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]] if full == 4 else out
+
+
 def _near(p: list[Point], q: list[Point]) -> bool:
     box = lambda r: (min(x for x, _ in r), min(y for _, y in r), max(x for x, _ in r), max(y for _, y in r))
     a, b = box(p), box(q)
@@ -206,35 +265,79 @@ def intersection_pieces(df: DataFrame, a: str, b: str, out: str = "pieces") -> D
 
 
 def union_all(df: DataFrame, ring: str, cell: float, out: str = "piece") -> DataFrame:
-    """Disjoint convex pieces whose union is that of all polygons of the frame.
-
-    Rings are cut at a grid and each cell is united by itself, so the work is
-    spread by place and pieces of different cells never overlap.
+    """Disjoint convex pieces whose union is that of all polygons of the frame, with the cell (cx, cy) that each lies in.
+
+    Rings are cut at a grid, equal parts of a cell become one, and each cell is
+    united by itself, so the work is spread by place and pieces of different
+    cells never overlap. Cells that hold more than CELL_PARTS parts, unless one
+    of them covers the cell, are quartered again and again before any is
+    gathered, up to DEEPEST times; beyond that (rings that all pass through one
+    point) parts are first united in blocks. Null and empty polygons add
+    nothing. Empty table: empty. Other columns are dropped.
     """
-
-    @F.pandas_udf("array<struct<cx:bigint,cy:bigint,ring:" + RING + ">>")
-    def cells(rings: pd.Series) -> pd.Series:
-        rows = []
-        for r in rings:
-            got = []
-            for p in _polygon(r):
-                for cx in range(int(min(x for x, _ in p) // cell), int(max(x for x, _ in p) // cell) + 1):
-                    for cy in range(int(min(y for _, y in p) // cell), int(max(y for _, y in p) // cell) + 1):
-                        square = [(cx * cell, cy * cell), ((cx + 1) * cell, cy * cell), ((cx + 1) * cell, (cy + 1) * cell), (cx * cell, (cy + 1) * cell)]
-                        part = convex_intersection(p, square)
-                        if part:
-                            got.append({"cx": cx, "cy": cy, "ring": _rows(part)})
-            rows.append(got)
-        return pd.Series(rows)
+    kinds = "level int, cx bigint, cy bigint, covers boolean, ring " + RING
+
+    def boxes(level: int, cx: int, cy: int) -> tuple[float, float, float, float]:
+        size = cell / (1 << level)
+        return cx * size, cy * size, (cx + 1) * size, (cy + 1) * size
+
+    def part(p: list[Point], level: int, cx: int, cy: int) -> tuple | None:
+        x0, y0, x1, y1 = boxes(level, cx, cy)
+        c = clip_box(p, x0, y0, x1, y1)
+        if not c:
+            return None
+        covers = area(c) >= (x1 - x0) * (y1 - y0) * (1 - 1e-12)
+        c = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)] if covers else c
+        at = c.index(min(c))  # equal parts are written alike
+        return level, cx, cy, covers, _rows(c[at:] + c[:at])
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["level", "cx", "cy", "covers", "ring"])
+
+    def cells(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf[ring]:
+                for p in _polygon(r):
+                    xs, ys = [x for x, _ in p], [y for _, y in p]
+                    for cx in range(int(min(xs) // cell), int(max(xs) // cell) + 1):
+                        rows += [x for cy in range(int(min(ys) // cell), int(max(ys) // cell) + 1) if (x := part(p, 0, cx, cy))]
+            yield frame(rows)
+
+    def quarters(batches):
+        for pdf in batches:
+            rows = []
+            for level, cx, cy, r in zip(pdf["level"], pdf["cx"], pdf["cy"], pdf["ring"]):
+                p = _points(r)
+                rows += [x for i in (0, 1) for j in (0, 1) if (x := part(p, level + 1, 2 * cx + i, 2 * cy + j))]
+            yield frame(rows)
 
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        pieces: list[list[Point]] = []
-        for r in pdf["ring"]:
-            pieces = union_pieces(pieces, [_points(r)])
-        return pd.DataFrame({"cx": [pdf["cx"].iloc[0]] * len(pieces), "cy": [pdf["cy"].iloc[0]] * len(pieces), out: [_rows(p) for p in pieces]})
-
-    cut_rows = df.select(F.explode(cells(F.col(ring))).alias("c")).select("c.*")
-    return cut_rows.groupBy("cx", "cy").applyInPandas(unite, f"cx bigint, cy bigint, {out} {RING}")
+        level, cx, cy = (int(pdf[c].iloc[0]) for c in ("level", "cx", "cy"))
+        pieces = unite_box([_points(r) for r in pdf["ring"]], *boxes(level, cx, cy))
+        return pd.DataFrame({"level": [level] * len(pieces), "cx": [cx] * len(pieces), "cy": [cy] * len(pieces), "ring": [_rows(p) for p in pieces]})
+
+    key, united = ["level", "cx", "cy"], "level int, cx bigint, cy bigint, ring " + RING
+    parts = stage(df.select(ring).mapInPandas(cells, kinds).distinct())
+    done = None
+    for depth in range(DEEPEST + 1):
+        counts = parts.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("covers").alias("covered")).withColumn("heavy", (F.col("n") > CELL_PARTS) & ~F.col("covered"))
+        counts = stage(counts)
+        heavy = counts.filter("heavy").limit(1).count() > 0
+        light = parts.join(counts.filter("NOT heavy").select(*key, "covered"), key).filter(F.col("covers") | ~F.col("covered"))  # one part that covers a cell is all of it
+        got = light.groupBy(*key).applyInPandas(unite, united)
+        done = got if done is None else done.unionByName(got)
+        if not heavy:
+            break
+        rest = parts.join(counts.filter("heavy").select(*key), key, "left_semi")
+        if depth == DEEPEST:
+            salted = rest.withColumn("salt", F.pmod(F.xxhash64("ring"), F.lit(64)))
+            blocks = salted.groupBy(*key, "salt").applyInPandas(unite, united)
+            done = done.unionByName(blocks.groupBy(*key).applyInPandas(unite, united))
+            break
+        parts = stage(rest.mapInPandas(quarters, kinds).distinct())
+    scale = F.pow(F.lit(2.0), F.col("level"))
+    return done.select(F.floor(F.col("cx") / scale).alias("cx"), F.floor(F.col("cy") / scale).alias("cy"), F.col("ring").alias(out))
 
 
 def intersection_all(df: DataFrame, ring: str, out: str = "ring") -> DataFrame:

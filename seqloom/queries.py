@@ -584,59 +584,7 @@ def stream_subscribe(spark, d):
     return spark.read.schema(kept.schema).parquet(out)
 
 
-# Geometry
-
-BOXES = "SELECT o_orderkey AS id, o_custkey % 97 AS minx, o_orderkey % 89 AS miny, o_custkey % 97 + 1 + o_orderkey % 7 AS maxx, o_orderkey % 89 + 1 + o_custkey % 5 AS maxy FROM orders WHERE o_orderkey < 2000"
-
-
-def _boxes(spark, d):
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    return orders(spark, d).df.filter(k < 2000).select(k.alias("id"), (c % 97).alias("minx"), (k % 89).alias("miny"), (c % 97 + 1 + k % 7).alias("maxx"), (k % 89 + 1 + c % 5).alias("maxy"))
-
-
-@query(f"SELECT max(minx) AS minx, max(miny) AS miny, min(maxx) AS maxx, min(maxy) AS maxy, max(minx) >= min(maxx) OR max(miny) >= min(maxy) AS empty FROM ({BOXES})")
-def geo_box_intersection(spark, d):
-    return geometry.box_intersection(_boxes(spark, d), "minx", "miny", "maxx", "maxy")
-
-
-@query(f"WITH b AS ({BOXES}) SELECT count(*) AS area FROM (SELECT DISTINCT x, y FROM b, range(0, 200) r(x), range(0, 200) s(y) WHERE x >= minx AND x < maxx AND y >= miny AND y < maxy)")
-def geo_box_union_area(spark, d):
-    return geometry.box_union_area(_boxes(spark, d))
-
-
-@query(f"WITH b AS ({BOXES}) SELECT a.id AS a_id, b.id AS b_id, greatest(a.minx, b.minx) AS minx, greatest(a.miny, b.miny) AS miny, least(a.maxx, b.maxx) AS maxx, least(a.maxy, b.maxy) AS maxy FROM b a JOIN b ON a.minx < b.maxx AND b.minx < a.maxx AND a.miny < b.maxy AND b.miny < a.maxy WHERE a.id < 300 AND b.id >= 1500")
-def geo_box_overlaps(spark, d):
-    b = _boxes(spark, d)
-    return geometry.box_overlaps(b.filter("id < 300"), b.filter("id >= 1500"), 8)
-
-
-def _rings(spark, d):
-    x, y = F.col("minx").cast("double"), F.col("miny").cast("double")
-    p = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
-    X, Y = F.col("maxx").cast("double"), F.col("maxy").cast("double")
-    return _boxes(spark, d).withColumn("ring", F.array(p(x, y), p(X, y), p(X, Y), p(x, Y)))
-
-
-@query(f"WITH b AS ({BOXES}) SELECT count(*) AS area FROM (SELECT DISTINCT x, y FROM b, range(0, 200) r(x), range(0, 200) s(y) WHERE b.id < 500 AND x >= minx AND x < maxx AND y >= miny AND y < maxy)")
-def geo_polygon_union(spark, d):
-    pieces = geometry.union_all(_rings(spark, d).filter("id < 500"), "ring", 16.0)
-    return pieces.agg(F.round(F.coalesce(F.sum(geometry.ring_area("piece")), F.lit(0.0))).cast("long").alias("area"))
-
-
-@query(f"WITH b AS ({BOXES}) SELECT a.id, greatest(0, least(a.maxx, b.maxx) - greatest(a.minx, b.minx)) * greatest(0, least(a.maxy, b.maxy) - greatest(a.miny, b.miny)) AS area FROM b a JOIN b ON b.id = a.id + 89 AND a.id < 200")
-def geo_polygon_intersection(spark, d):
-    r = _rings(spark, d)
-    both = r.filter("id < 200").select("id", F.col("ring").alias("a")).join(r.select((F.col("id") - 89).alias("id"), F.col("ring").alias("b")), "id")
-    return geometry.intersection(both, "a", "b").select("id", F.round(geometry.ring_area("ring")).cast("long").alias("area"))
-
-
-@query(f"WITH b AS ({BOXES}) SELECT greatest(0, min(maxx) - max(minx)) * greatest(0, min(maxy) - max(miny)) AS area FROM b WHERE id IN (3, 92)")
-def geo_polygon_intersection_all(spark, d):
-    out = geometry.intersection_all(_rings(spark, d).filter("id IN (3, 92)"), "ring")
-    return out.select(F.round(geometry.ring_area("ring")).cast("long").alias("area"))
-
-
-# The six geometry queries again, over all orders. Each 2,000 ids have a field of the plane of their own, so the plane grows with the ids and boxes of two fields never meet.
+# Geometry, over all orders. Each 2,000 ids have a field of the plane of their own, so the plane grows with the ids and boxes of two fields never meet.
 
 FIELD = 2000
 BOXES_WHOLE = f"SELECT o_orderkey AS id, o_orderkey // {FIELD} * 128 + o_custkey % 97 AS minx, o_orderkey % 89 AS miny, o_orderkey // {FIELD} * 128 + o_custkey % 97 + 1 + o_orderkey % 7 AS maxx, o_orderkey % 89 + 1 + o_custkey % 5 AS maxy FROM orders"
