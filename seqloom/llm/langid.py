@@ -15,9 +15,12 @@ from . import _words as W
 from ._store import bound_batches, plain_names, returning
 
 #: Labelled documents of a language that the model is fitted on, and those that its rejection is calibrated on.
-FIT_DOCS, CALIBRATE_DOCS, ORDER, ALPHABET = 400, 100, 5, 512
-#: A document is rejected beyond this much of the largest cross-entropy among its language's calibration documents.
-SLACK, SHARPNESS, CACHE = 1.15, 8.0, 150_000
+FIT_DOCS, CALIBRATE_DOCS, ORDER, ALPHABET = 400, 400, 5, 512
+#: Languages with fewer labelled documents are fitted on all of them, and never reject.
+FEWEST = 24
+#: A document of n characters is rejected beyond SLACK times this quantile of its language's calibration documents plus SHORT / sqrt(n).
+QUANTILE, SLACK, SHORT = 0.98, 1.5, 2.0
+SHARPNESS, CACHE = 8.0, 150_000
 #: Words that are scored at once.
 AT_ONCE = 20_000
 U64 = np.uint64
@@ -164,7 +167,11 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, calibrate_docs: int = CALIBRA
 
     The documents are those with the smallest hashes of doc_id, by a threshold
     from the language's count: a bounded sample, the same on each run. Words
-    and their counts of the sample are all that comes to the driver.
+    and their counts of the sample are all that comes to the driver. The limit
+    of a language comes from a high quantile of the cross-entropies of its
+    calibration documents, so a few wrong labels among them do not move it; what
+    a short text adds by chance is taken off before, and added by each text's own
+    length after. A language with fewer than FEWEST documents has no limit.
     """
     bound_batches(docs.sparkSession)
     rows = docs.filter(_learned())
@@ -174,8 +181,8 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, calibrate_docs: int = CALIBRA
     share = {lang: min(1.0, (fit_docs + calibrate_docs) / n) for lang, n in counts.items()}
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     limits = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
-    cut = fit_docs / (fit_docs + calibrate_docs)
-    sample = rows.select("lang", F.col("text").cast("binary").alias("text"), part.alias("u"), F.element_at(limits, F.col("lang")).alias("share")).filter("u < share AND text IS NOT NULL")
+    cut = F.when(F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("lang")) < FEWEST, 1.0).otherwise(fit_docs / (fit_docs + calibrate_docs))
+    sample = rows.select("lang", F.col("text").cast("binary").alias("text"), part.alias("u"), F.element_at(limits, F.col("lang")).alias("share"), cut.alias("cut")).filter("u < share AND text IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,20 +197,21 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, calibrate_docs: int = CALIBRA
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
     words: dict[str, dict[str, int]] = {}
-    found = sample.filter(F.col("u") < F.col("share") * cut).select("lang", "text").mapInArrow(returning(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    found = sample.filter(F.col("u") < F.col("share") * F.col("cut")).select("lang", "text").mapInArrow(returning(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     for lang, part_ in found.toPandas().groupby("lang"):
         words[lang] = dict(zip(part_["word"].tolist(), part_["n"].tolist()))
     if not words:
         return None
     model = Model(words)
-    held = sample.filter(F.col("u") >= F.col("share") * cut).select("lang", "text")
-    scored = _cross_entropies(held, model, ["lang"]).filter("__best IS NOT NULL").groupBy("lang").agg(F.max("__own").alias("worst")).toPandas()
-    model.limits |= {lang: worst * SLACK for lang, worst in zip(scored["lang"], scored["worst"]) if lang in model.limits and worst is not None and np.isfinite(worst)}
+    held = sample.filter(F.col("u") >= F.col("share") * F.col("cut")).select("lang", "text")
+    scored = _cross_entropies(held, model, ["lang"]).filter("__best IS NOT NULL AND NOT isnan(__own)")
+    high = scored.groupBy("lang").agg(F.percentile(F.col("__own") - SHORT / F.sqrt("__chars"), QUANTILE).alias("high")).toPandas()
+    model.limits |= {lang: max(x, 0.0) * SLACK for lang, x in zip(high["lang"], high["high"]) if lang in model.limits}
     return model
 
 
 def _cross_entropies(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """keep..., __best (the language), __ce, __own (cross-entropy in the language named by column lang, if there), __score, __beyond. Nulls without a letter."""
+    """keep..., __best (the language), __ce, __own (cross-entropy in the language named by column lang, if there), __score, __chars, __beyond. Nulls without a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,15 +233,15 @@ def _cross_entropies(docs: DataFrame, model: Model, keep: list[str]) -> DataFram
             own = low
             if "lang" in keep:
                 own = np.array([ce[i, place[x]] if x in place else np.nan for i, x in enumerate(b.column(keep.index("lang")).to_pylist())], float)
-            limit = np.array([scorer.model.limits[x] for x in langs])[best] if len(ce) else low
+            limit = np.array([scorer.model.limits[x] for x in langs])[best] + SHORT / np.sqrt(np.maximum(c, 1)) if len(ce) else low
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(keep)], pa.array(np.array(langs, object)[best], pa.string(), mask=none), pa.array(low, pa.float64(), mask=none), pa.array(own, pa.float64(), mask=none), pa.array(score, pa.float64(), mask=none), pa.array(low > limit, pa.bool_(), mask=none)],
-                names=[*keep, "__best", "__ce", "__own", "__score", "__beyond"],
+                [*b.columns[: len(keep)], pa.array(np.array(langs, object)[best], pa.string(), mask=none), pa.array(low, pa.float64(), mask=none), pa.array(own, pa.float64(), mask=none), pa.array(score, pa.float64(), mask=none), pa.array(c, pa.float64(), mask=none), pa.array(low > limit, pa.bool_(), mask=none)],
+                names=[*keep, "__best", "__ce", "__own", "__score", "__chars", "__beyond"],
             )
 
     slim = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else ["text"]))
     text_at = slim.columns.index("text")
-    more = [T.StructField("__best", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("__ce", "__own", "__score")], T.StructField("__beyond", T.BooleanType())]
+    more = [T.StructField("__best", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("__ce", "__own", "__score", "__chars")], T.StructField("__beyond", T.BooleanType())]
     return slim.mapInArrow(returning(run), T.StructType([*slim.schema.fields[: len(keep)], *more]))
 
 
@@ -261,10 +269,14 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns; a null lang becomes the one found."""
+    """The rows of ``docs`` that are not rejected, with their columns; a null lang becomes the one found.
+
+    Where nothing can be learned (no labelled document outside the held-out
+    fold) all documents that have a letter stay as they are.
+    """
     model = fit(docs)
     if model is None:
-        return docs.limit(0)
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     safe = plain_names(docs, "doc_id", "text", "lang")
     out = _cross_entropies(safe, model, safe.columns).filter(~F.coalesce("__beyond", F.lit(True)))
     return out.withColumn("lang", F.coalesce("lang", "__best")).select(*safe.columns).toDF(*docs.columns)
