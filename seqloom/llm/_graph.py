@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._store import stage
 
 
-def _mark(e: DataFrame) -> tuple[int, int]:
-    r = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)), F.lit(0))).first()
-    return r[0], r[1]
+def _marked(e: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
+    """The table written, and the number of its rows with a sum of their hashes, taken while it is written."""
+    seen = Observation()
+    e = stage(e.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)), F.lit(0)).alias("h")), name)
+    return e, (seen.get["n"], seen.get["h"])
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -23,8 +25,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     task. Each round is a written table. Self loops and repeated edges do no
     harm; no edges: an empty table.
     """
-    e = stage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(e)
+    e, mark = _marked(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     for _ in range(rounds):
         if not mark[0]:
             break
@@ -34,8 +35,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = stage(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         tied = large.join(low, F.col("u") == F.col("w")).select("v", "m").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(tied.unionAll(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "small")
-        now = _mark(e)
+        e, now = _marked(tied.unionAll(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "small")
         if now == mark:
             break
         mark = now

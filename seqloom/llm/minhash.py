@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._graph import components
-from ._store import bound_batches, returning, stage
+from ._store import bound_batches, free_name, returning, stage
 
 U64 = np.uint64
 BANDS, BAND_ROWS = 24, 4
@@ -79,7 +79,7 @@ def band_hashes(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, key (16 bytes, equal for equal sets; null for empty sets), bands, sketch (a byte a coordinate)."""
+    """doc_id, n_shingles, key (16 bytes, equal for equal sets; null for empty sets), bands."""
     t = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,33 +87,31 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             for at, n, buf, offsets in W.pieces(b.column(1)):
                 h, to = shingles(buf, offsets, k)
                 size = np.diff(to)
-                s = sketches(h, to, t)
-                sig = band_hashes(s, bands, rows).view(np.int64)
-                small = W.mix(s).astype(np.uint8)
+                sig = band_hashes(sketches(h, to, t), bands, rows).view(np.int64)
                 data, cut = h.tobytes(), to.tolist()
                 key = [hashlib.blake2b(data[8 * cut[i] : 8 * cut[i + 1]], digest_size=16).digest() if size[i] else None for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, n), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands, pa.array(sig.reshape(-1))), pa.array([r.tobytes() for r in small], pa.binary())],
-                    names=["doc_id", "n_shingles", "key", "bands", "sketch"],
+                    [b.column(0).slice(at, n), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands, pa.array(sig.reshape(-1)))],
+                    names=["doc_id", "n_shingles", "key", "bands"],
                 )
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    out = slim.mapInArrow(returning(run), "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary")
+    out = slim.mapInArrow(returning(run), "doc_id long, n_shingles long, key binary, bands array<long>")
     return out.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key")))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of (u, v) those whose whole shingle sets have 100 * intersection >= percent * union. texts: (id, text), one row an id."""
+    """Of (u, v) those whose whole shingle sets have 100 * intersection >= percent * union. texts: (id, text); of an id with several texts any counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
         for b in batches:
-            u, v, of_v = b.column(0), b.column(1), b.column(1).to_pylist()
+            u, v = b.column(0), b.column(1)
             good = np.zeros(b.num_rows, bool)
             for at, n, buf, offsets in W.pieces(b.column(3)):
                 h, to = shingles(buf, offsets, k)
                 for i in range(n):
-                    hub = of_v[at + i]
+                    hub = b.column(2)[at + i].as_py()
                     if hub != last:  # rows come sorted by v
                         _, _, tb, toff = next(W.pieces(b.column(2).slice(at + i, 1)))
                         last, last_set = hub, shingles(tb, toff, k)[0]
@@ -128,23 +126,23 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return two.select("u", "v", "text_v", "text_u").mapInArrow(returning(run), "u long, v long")
 
 
-def bitmaps(texts: DataFrame, k: int) -> DataFrame:
-    """(id, bits) of (id, text): one bit for each shingle's hash, in a power of two of 8 to 16 bits a shingle."""
+def summaries(texts: DataFrame, k: int, t: int) -> DataFrame:
+    """(id, n_shingles, sketch, bits) of (id, text): a byte for each of t coordinates; one bit for each shingle's hash, in a power of two of 8 to 16 bits a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, n, buf, offsets in W.pieces(b.column(1)):
                 h, to = shingles(buf, offsets, k)
-                out = []
+                small, out = W.mix(sketches(h, to, t)).astype(np.uint8), []
                 for i in range(n):
                     own = h[to[i] : to[i + 1]]
                     size = 1 << max(6, int(8 * len(own) - 1).bit_length())
                     bits = np.zeros(size, np.uint8)
                     bits[(own & U64(size - 1)).astype(np.int64)] = 1
                     out.append(np.packbits(bits, bitorder="little").tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array(out, pa.binary())], names=["id", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array(np.diff(to), pa.int64()), pa.array([r.tobytes() for r in small], pa.binary()), pa.array(out, pa.binary())], names=["id", "n_shingles", "sketch", "bits"])
 
-    return texts.select("id", "text").mapInArrow(returning(run), "id long, bits binary")
+    return texts.select("id", "text").mapInArrow(returning(run), "id long, n_shingles long, sketch binary, bits binary")
 
 
 def _folded(bits: np.ndarray, size: int) -> np.ndarray:
@@ -224,15 +222,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     Null and empty texts have no shingle: n_shingles 0, a component of their
     own. Null doc_id: linked with nothing, component_id and kept null. Fewer than k words: one shingle, the whole sequence. Repeated rows and
-    copies share a component. Very long texts count whole. Empty table: empty.
+    copies share a component. Rows with one doc_id and different texts are one document, linked by any of its texts. Very long texts count whole. Empty table: empty.
     Other columns are dropped.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     sig = stage(signatures(docs, k, bands, rows), "signatures")
-    classes = sig.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    # A table of its own, so that the join below reads plain shuffles and a key with very many copies is split.
+    classes = stage(sig.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     member = stage(sig.select("doc_id", "n_shingles", "key").join(classes, "key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    reps = sig.filter("key IS NOT NULL").join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id"])
+    reps = sig.filter("key IS NOT NULL").join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
     buckets = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("h"))
     hubs = buckets.groupBy("h").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("h", "hub")
     shared = stage(buckets.join(hubs, "h"), "buckets")
@@ -240,7 +239,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     pairs = stage(pairs, "pairs")
     nodes = shared.select("id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    texts = stage(texts.join(nodes, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = texts.join(nodes, "id", "left_semi").withColumn("th", F.xxhash64("text")).dropDuplicates(["id", "th"]).select("id", "text")
+    texts = stage(texts, "texts")
     links = stage(verify(pairs, texts, k, percent), "links")
     comps = components(links)
 
@@ -248,8 +248,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     of = stage(of, "bucket-comps")
     mixed = of.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("h")
     members = stage(of.join(mixed, "h", "left_semi"), "mixed")
-    maps = bitmaps(texts.join(members.select("id").distinct(), "id", "left_semi"), k)
-    members = members.join(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sketch").join(maps, "id"), "id")
+    members = members.join(summaries(texts.join(members.select("id").distinct(), "id", "left_semi"), k, bands * rows), "id")
     more = _across(members, percent, bands * rows).join(pairs, ["u", "v"], "left_anti")
     more = stage(verify(stage(more, "across"), texts, k, percent), "more-links")
     if more.limit(1).count():
@@ -261,7 +260,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` less all but one document, the smallest doc_id, of each group of near duplicates.
 
-    Rows without a doc_id cannot be told apart and stay. A repeated doc_id counts once.
+    Rows without a doc_id cannot be told apart and stay. Of rows with one doc_id
+    and one text one stays; different texts under one doc_id go or stay together.
     """
     kept = near_duplicates(docs.filter("doc_id IS NOT NULL"), k, percent).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    th = free_name(docs, "_th")
+    out = docs.join(kept, "doc_id", "left_semi").withColumn(th, F.xxhash64("text")).dropDuplicates(["doc_id", th]).drop(th)
+    return out.unionByName(docs.filter("doc_id IS NULL"))
