@@ -1,4 +1,4 @@
-"""Substring dedup: winnowed anchors as seeds; the windows of fixed length through them are compared by hash, in place of extension to maximal repeats."""
+"""Substring dedup: winnowed anchors as seeds, extended both ways by the hashes of the windows through them, to maximal repeats."""
 
 from __future__ import annotations
 
@@ -91,9 +91,10 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     runs: array of (first, mask); bit i of mask says that the window of
     ``length`` words that begins at word first + i also begins somewhere else.
 
-    Seeds with a common anchor meet in one task, and all windows through them,
-    that is every extension to the left and right, are compared there by hash
-    (64 + 40 bits). Anchors that many documents share are dealt to all tasks by a
+    Seeds with a common anchor meet in one task. A seed carries the hash of each
+    window of ``length`` words through it, by how far it reaches to the left and
+    right; those that are equal in two seeds say how far their match extends
+    (64 + 40 bits). So a group of seeds is extended at once, not pair by pair. Anchors that many documents share are dealt to all tasks by a
     hash of the document; windows found once in a task meet by their own hash.
     """
     spark = docs.sparkSession
@@ -179,8 +180,42 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     return runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s0", "mask")).alias("runs"))
 
 
+def _windows(runs: list[dict]) -> np.ndarray:
+    """Places of all repeated windows of a document, in order."""
+    s0, mask = (np.array([r[c] for r in runs], np.int64) for c in ("s0", "mask"))
+    i, bit = np.nonzero(np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return np.unique(s0[i] + bit)
+
+
+def _stretches(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of the maximal stretches of which each window of ``length`` words is repeated."""
+    new = np.flatnonzero(np.diff(at) != 1) + 1
+    first, last = np.concatenate([[0], new])[: len(at)], np.concatenate([new, [len(at)]])[: len(at)] - 1
+    return at[first], at[last] - at[first] + length
+
+
+def maximal_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+    """doc_id, start, n_words of the maximal repeats of at least ``length`` words in every document.
+
+    A maximal repeat is a stretch of words that cannot be extended to either
+    side: each window of ``length`` words in it also begins at another place of
+    the table, the one before it and the one after it do not. Two of them may
+    overlap. Nulls, empty and short texts have none; a null doc_id stays null.
+    Repeated rows repeat each other. Empty table: empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [_stretches(_windows(r), length) for r in b.column(1).to_pylist()]
+            rows = pa.array(np.repeat(np.arange(len(both)), [len(x) for x, _ in both]).astype(np.int64))
+            cat = lambda k: pa.array(np.concatenate([np.zeros(0, np.int64), *[x[k] for x in both]]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), cat(0), cat(1)], names=["doc_id", "start", "n_words"])
+
+    return repeats(docs, length).select("doc_id", "runs").mapInArrow(returning(run), "doc_id long, start long, n_words long")
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> DataFrame:
-    """``docs`` with ``text`` less every word that a repeated window of ``length`` words covers, or its digest.
+    """``docs`` with ``text`` less every word that a maximal repeat of at least ``length`` words covers, or its digest.
 
     A window repeats if its words, as they stand, also begin at any other place
     of the table, the same document included; windows are judged on the input.
@@ -204,11 +239,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> D
 
     def cover(b: pa.RecordBatch, i: int, n: int) -> np.ndarray:
         change = np.zeros(n + 1, np.int32)
-        for r in b.column(len(cols))[i].as_py():
-            for bit in range(r["mask"].bit_length()):
-                if r["mask"] >> bit & 1:
-                    change[r["s0"] + bit] += 1
-                    change[r["s0"] + bit + length] -= 1
+        start, words = _stretches(_windows(b.column(len(cols))[i].as_py()), length)
+        np.add.at(change, start, 1)
+        np.add.at(change, start + words, -1)
         return np.cumsum(change[:-1]) > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
