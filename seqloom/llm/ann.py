@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from ._store import bound_batches, stage
 from .vecdedup import valid
 
-#: Vectors that the index is fitted on at most; lists at most; vectors a list has about.
-SAMPLE, MOST_LISTS, LIST_ROWS = 20_000, 16_384, 256
+#: Lists at most; vectors a list has about. Vectors that the index is fitted on: so many, or so many for each list if that is more.
+MOST_LISTS, LIST_ROWS, SAMPLE, LIST_SAMPLE = 16_384, 256, 20_000, 8
 #: A vector is also put in lists whose centroid is at most so much farther than its nearest, in so many lists at most.
 SPREAD, REPLICAS = 1.03, 3
-#: Recall that the pruning ratio is calibrated to on the sample, and neighbours of a centroid in the graph.
-RECALL, DEGREE = 0.985, 24
+#: Recall that the pruning ratio is calibrated to; vectors of the sample that only calibrate it; neighbours of a centroid in the graph.
+RECALL, HELD_OUT, DEGREE = 0.985, 300, 24
 #: Members of a list, and queries, that are compared at once.
 TILE, QUERY_TILE = 4096, 1024
 
@@ -31,48 +31,60 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (x @ c.T), 0))
 
 
+def blocks(n: int, width: int) -> list[slice]:
+    """Rows 0..n-1 in blocks, each of about four million entries of a table ``width`` wide."""
+    step = max(1, (4 << 20) // max(1, width))
+    return [slice(at, at + step) for at in range(0, n, step)]
+
+
 class Index:
     """Balanced centroids, a graph over them, and the distance ratio up to which lists are searched."""
 
     def __init__(self, sample: np.ndarray, lists: int, k: int, seed: int = 1):
         rng = np.random.default_rng(seed)
-        x = unit(sample.astype(np.float64))
+        whole = unit(sample.astype(np.float64))
+        # Vectors that calibrate fit no centroid: one that does may be a centroid itself, at no distance from it.
+        held = np.zeros(len(whole), bool)
+        if len(whole) > 4 * HELD_OUT:
+            held[rng.choice(len(whole), HELD_OUT, replace=False)] = True
+        x = whole[~held]
         lists = max(1, min(lists, len(x)))
         c = x[rng.choice(len(x), lists, replace=False)]
         size = np.zeros(lists)
         for _ in range(8):  # balanced k-means: a list's size adds to its distance
-            d = 2 - 2 * (x @ c.T) + 0.2 * (size / max(1, len(x) / lists) - 1).clip(-1, 2)[None, :]
-            near = d.argmin(1)
+            full = 0.2 * (size / max(1, len(x) / lists) - 1).clip(-1, 2)[None, :]
+            near = np.concatenate([(2 - 2 * (x[s] @ c.T) + full).argmin(1) for s in blocks(len(x), lists)])
             size = np.bincount(near, minlength=lists).astype(float)
             total = np.zeros_like(c)
             np.add.at(total, near, x)
             some = np.einsum("ij,ij->i", total, total) > 1e-12
             c[some] = unit(total[some])
         self.centroids = c
-        d = distances(c, c)
-        np.fill_diagonal(d, np.inf)
-        close = np.argsort(d, axis=1, kind="stable")[:, : min(DEGREE, lists - 1)]
+        close = []
+        for s in blocks(lists, lists):
+            d = distances(c[s], c)
+            d[np.arange(len(d)), np.arange(s.start, s.start + len(d))] = np.inf
+            close.append(np.argsort(d, axis=1, kind="stable")[:, : min(DEGREE, lists - 1)])
+        close = np.concatenate(close)
         self.edges = [sorted({*row.tolist(), (i + 1) % lists, (i + lists // 2) % lists} - {i}) for i, row in enumerate(close)]
         for i in range(lists):  # both ways
             for j in close[i].tolist():
                 if i not in self.edges[j]:
                     self.edges[j].append(i)
-        self.ratio = self.calibrate(x, k)
+        self.ratio = self.calibrate(whole, np.flatnonzero(held) if held.any() else np.arange(len(whole)), k)
 
-    def calibrate(self, x: np.ndarray, k: int) -> float:
-        """The smallest ratio at which the lists searched hold RECALL of the nearest k in the sample, for 300 of its vectors."""
+    def calibrate(self, x: np.ndarray, some: np.ndarray, k: int) -> float:
+        """The smallest ratio at which the lists searched hold RECALL of the nearest k in the sample ``x``, for its rows ``some``."""
         if len(self.centroids) == 1 or len(x) < 3:
             return np.inf
-        some = np.arange(0, len(x), max(1, len(x) // 300))
-        d = distances(x, self.centroids)
-        home = [set(r) for r in self.homes(d)]
-        s = x[some] @ x.T
-        s[np.arange(len(some)), some] = -np.inf
-        near = np.argpartition(-s, min(k, len(x) - 2), axis=1)[:, :k]
         need = []
-        for q, row in zip(some, near):
-            least = d[q].min()
-            need += [min(d[q][list_] for list_ in home[v]) / max(least, 1e-9) for v in row.tolist()]
+        for q in some.tolist():
+            s = x @ x[q]
+            s[q] = -np.inf
+            near = np.argpartition(-s, min(k, len(x) - 2))[:k]
+            own = distances(x[q : q + 1], self.centroids)[0]
+            d = distances(x[near], self.centroids)
+            need += [own[list_].min() / max(own.min(), 1e-9) for list_ in self.homes(d)]
         return float(np.quantile(need, RECALL))
 
     def homes(self, d: np.ndarray) -> list[list[int]]:
@@ -132,7 +144,8 @@ class Index:
 def nearest(df: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest rows of each query by cosine; the query's own row is no candidate.
 
-    The index is fitted on up to SAMPLE rows, chosen by a hash of vec_id; every
+    The index is fitted on about SAMPLE rows, or LIST_SAMPLE for each list if
+    that is more (MOST_LISTS bounds both), chosen by a hash of vec_id; every
     row is put in lists. Equal vectors are one member with its k + 1 smallest
     vec_ids, which is all that any query can need. Lists are cut in blocks of
     about TILE members and queries of a list in blocks of QUERY_TILE, so a very
@@ -157,13 +170,15 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     schema = "query_id long, rank int, vec_id long, score double"
     out = None
     for dim, n in sorted(sizes.items()):
-        share = min(1.0, SAMPLE / n)
+        lists = min(MOST_LISTS, max(1, n // LIST_ROWS))
+        most = max(SAMPLE, LIST_SAMPLE * lists)
+        share = min(1.0, most / n)
         u = F.pmod(F.xxhash64(F.col("ids")[0], F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
         own = members.filter(F.col("dim") == dim)
-        sample = own.filter(u < share).orderBy(F.col("ids")[0]).limit(2 * SAMPLE).select("embedding").toPandas()["embedding"]
+        sample = own.filter(u < share).orderBy(F.col("ids")[0]).limit(2 * most).select("embedding").toPandas()["embedding"]
         if not len(sample):
             sample = own.select("embedding").limit(1).toPandas()["embedding"]
-        index = Index(np.array(sample.tolist(), np.float64), min(MOST_LISTS, max(1, n // LIST_ROWS)), k)
+        index = Index(np.array(sample.tolist(), np.float64), lists, k)
         part = _search(own, rows.filter(F.col("dim") == dim).filter("is_query").select("vec_id", "embedding"), index, k)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
