@@ -60,8 +60,9 @@ def returning(run: Callable) -> Callable:
     return whole
 
 
-def bound_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Arrow batches to Python by bytes as well as by rows, so that long texts do not fill a worker."""
+def bound_batches(spark: SparkSession, size: str = "4m", rows: int = 512) -> None:
+    """Arrow batches to Python by bytes as well as by rows, and few rows at once from Parquet, so that long texts fill neither a worker nor an executor."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     except Exception:  # a Spark before 4.1 knows rows only

@@ -21,8 +21,8 @@ LOWER[65:91] += 32
 BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-#: Bytes of text that are worked on at once.
-PIECE = 2 << 20
+#: Bytes of text that are worked on at once, if no single text is longer; powers that a worker keeps at most.
+PIECE, KEPT_POWERS = 1 << 19, 1 << 21
 
 
 def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +37,9 @@ def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
                 x = np.full(size, b, U64)
                 x[0] = 1
                 both.append(np.multiply.accumulate(x))
-        have = _POWERS[which] = tuple(both)
+        have = tuple(both)
+        if size <= KEPT_POWERS:
+            _POWERS[which] = have
     return have[0][:n], have[1][:n]
 
 
