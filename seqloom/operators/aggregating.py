@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.order import Seq, _blocked, zipped
+from ..plans.order import WIDE, Seq, _blocked, zipped
 
 
 def reduce(df: DataFrame, *aggs: Column) -> DataFrame:
@@ -17,29 +17,27 @@ def reduce(df: DataFrame, *aggs: Column) -> DataFrame:
 
 
 def reduce_ordered(seq: Seq, col: str, f: Callable, kind: str, out: str = "result") -> DataFrame:
-    """Fold with any associative f, commutative or not: each block in order, then the blocks' partials in order.
+    """Fold with any associative f, commutative or not: each block in order, then the partials of WIDE blocks in order, then theirs.
 
-    Empty: no partials, one null row. Blocks are bounded by the keys' block width; the last fold sees one value a block.
+    Empty: no partials, one null row. Blocks are bounded by the keys' block width; the last fold sees one value for WIDE blocks.
     """
     keys = seq.keys
 
-    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values(keys)["_v"].tolist()
-        total = values[0]
-        for v in values[1:]:
-            total = f(total, v)
-        return pd.DataFrame({"_block": [key[0]], "_p": [total]})
+    def folded(name: str, by: list[str], value: str) -> Callable:
+        def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            values = pdf.sort_values(by)[value].tolist()
+            total = values[0]
+            for v in values[1:]:
+                total = f(total, v)
+            return pd.DataFrame({name: [key[0]], "_p": [total]})
 
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("_block")["_p"].tolist()
-        total = values[0]
-        for v in values[1:]:
-            total = f(total, v)
-        return pd.DataFrame({out: [total]})
+        return one
 
     cut = _blocked(seq.df.withColumn("_v", F.col(col).cast(kind)), keys, seq.block).select("_block", *keys, "_v")
-    partial = cut.groupBy("_block").applyInPandas(block, f"_block long, _p {kind}")
-    done = partial.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(final, f"{out} {kind}")
+    partial = cut.groupBy("_block").applyInPandas(folded("_block", keys, "_v"), f"_block long, _p {kind}")
+    wide = partial.withColumn("_wide", F.floor(F.col("_block") / WIDE))
+    wide = wide.groupBy("_wide").applyInPandas(folded("_wide", ["_block"], "_p"), f"_wide long, _p {kind}")
+    done = wide.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(folded("_one", ["_wide"], "_p"), f"_one int, _p {kind}").withColumnRenamed("_p", out)
     return done.agg(F.first(out).alias(out))
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.order import Seq, _blocked, running, with_next
+from ..plans.order import WIDE, Seq, _blocked, running, with_next
 
 COMBINE: dict[str, Callable[[Column, Column], Column]] = {
     "sum": lambda a, b: a + b,
@@ -55,24 +55,31 @@ def scan_total(seq: Seq, value: Column, kind: str = "sum") -> DataFrame:
 def scan_with(seq: Seq, col: str, f: Callable, identity, kind: str, out: str = "scan") -> DataFrame:
     """(keys, out) of an inclusive scan with any associative f: blocks are folded, the partials scanned in order, and each block scanned from its offset.
 
-    The scan of partials sees one value a block; blocks are bounded by the width of the sequence's key blocks.
+    The partials of WIDE blocks are folded again, so the scan that one task does
+    sees one value for WIDE blocks; blocks are bounded by the width of the sequence's key blocks.
     """
     keys = seq.keys
     cut = _blocked(seq.df.withColumn("_v", F.col(col).cast(kind)), keys, seq.block).select("_block", *keys, "_v")
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = identity
-        for v in pdf.sort_values(keys)["_v"].tolist():
-            total = f(total, v)
-        return pd.DataFrame({"_block": [key[0]], "_p": [total]})
+    def folded(name: str, by: list[str], value: str) -> Callable:
+        def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            total = identity
+            for v in pdf.sort_values(by)[value].tolist():
+                total = f(total, v)
+            return pd.DataFrame({name: [key[0]], "_p": [total]})
 
-    def offsets(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        total, at = identity, []
-        for v in pdf["_p"].tolist():
-            at.append(total)
-            total = f(total, v)
-        return pd.DataFrame({"_block": pdf["_block"], "_o": at})
+        return one
+
+    def offsets(name: str) -> Callable:
+        def one(key: tuple, pdf: pd.DataFrame, start: pd.DataFrame | None = None) -> pd.DataFrame:
+            pdf = pdf.sort_values(name)
+            total, at = identity if start is None else start["_o"].iloc[0], []
+            for v in pdf["_p"].tolist():
+                at.append(total)
+                total = f(total, v)
+            return pd.DataFrame({name: pdf[name], "_o": at})
+
+        return one
 
     def local(key: tuple, pdf: pd.DataFrame, off: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(keys)
@@ -82,8 +89,11 @@ def scan_with(seq: Seq, col: str, f: Callable, identity, kind: str, out: str = "
             got.append(total)
         return pdf[keys].assign(**{out: got})
 
-    partial = cut.groupBy("_block").applyInPandas(fold, f"_block long, _p {kind}")
-    before = partial.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(offsets, f"_block long, _o {kind}")
+    partial = cut.groupBy("_block").applyInPandas(folded("_block", keys, "_v"), f"_block long, _p {kind}")
+    partial = partial.withColumn("_wide", F.floor(F.col("_block") / WIDE))
+    wide = partial.groupBy("_wide").applyInPandas(folded("_wide", ["_block"], "_p"), f"_wide long, _p {kind}").withColumn("_one", F.lit(0))
+    first = wide.groupBy("_one").applyInPandas(lambda key, pdf: offsets("_wide")(key, pdf), f"_wide long, _o {kind}")
+    before = partial.groupBy("_wide").cogroup(first.groupBy("_wide")).applyInPandas(lambda key, pdf, start: offsets("_block")(key, pdf, start), f"_block long, _o {kind}")
     types = ", ".join(f"{k} {seq.df.schema[k].dataType.simpleString()}" for k in keys)
     return cut.groupBy("_block").cogroup(before.groupBy("_block")).applyInPandas(local, f"{types}, {out} {kind}")
 

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Distinct leading keys in a block, and positions in a block of a sequence with positions.
-KEY_BLOCK, POS_BLOCK = 4096, 1 << 15
+KEY_BLOCK, POS_BLOCK = 1 << 15, 1 << 15
+#: Blocks whose totals are put in order in one task.
+WIDE = 4096
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 

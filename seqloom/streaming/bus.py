@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +13,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 @dataclass
 class Bus:
-    """One folder of event files. Publishing appends a file; each subscription is a streaming query with its own checkpoint."""
+    """One folder of event files. Publishing appends a file; each subscription is a streaming query with its own checkpoint.
+
+    What a handler returns for a batch is kept in ``outcomes`` under its
+    checkpoint: False says that it did not take the batch, anything else (also
+    nothing) that it did.
+    """
 
     spark: SparkSession
     path: str
     schema: T.StructType
+    outcomes: dict[str, dict[int, bool]] = field(default_factory=dict)
 
     def publish(self, events: DataFrame) -> None:
         events.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).write.mode("append").parquet(self.path)
@@ -26,9 +32,18 @@ class Bus:
         df = self.spark.readStream.schema(self.schema).parquet(self.path)
         return df.filter(topic(F.col(column))) if topic else df
 
-    def subscribe(self, handler: Callable[[DataFrame, int], None], checkpoint: str, topic: Callable[[Column], Column] | None = None, every: str | None = None) -> StreamingQuery:
+    def handled(self) -> dict[str, int]:
+        """For each subscription the number of batches that its handler took."""
+        return {at: sum(batches.values()) for at, batches in self.outcomes.items()}
+
+    def subscribe(self, handler: Callable[[DataFrame, int], bool | None], checkpoint: str, topic: Callable[[Column], Column] | None = None, every: str | None = None) -> StreamingQuery:
         """``handler`` gets each micro-batch; stop() of the query unsubscribes. every: ``10 seconds``; else all that is there, then the end."""
-        w = self.stream(topic).writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
+        seen = self.outcomes.setdefault(checkpoint, {})
+
+        def deliver(df: DataFrame, n: int) -> None:
+            seen[n] = handler(df, n) is not False  # a batch that comes again is counted once
+
+        w = self.stream(topic).writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
         return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 

@@ -70,3 +70,16 @@ def test_one_ring_results_refuse_concave_rings(spark):
     df = spark.createDataFrame([(ring(L), ring(BOX))], f"a {geometry.RING}, b {geometry.RING}")
     with pytest.raises(Exception, match="not convex"):
         geometry.intersection(df, "a", "b").collect()
+
+
+@pytest.mark.parametrize("parts,deepest", ((6, 10), (6, 1)))
+def test_full_cells_are_quartered(spark, monkeypatch, parts, deepest):
+    """Many rings in one cell of the grid: quartered, and in blocks where no more quartering is allowed."""
+    monkeypatch.setattr(geometry, "CELL_PARTS", parts)
+    monkeypatch.setattr(geometry, "DEEPEST", deepest)
+    rng = np.random.default_rng(7)
+    boxes = [[ring([(x, y), (x + w, y), (x + w, y + h), (x, y + h)])] for x, y, w, h in zip(*rng.integers(0, 30, (2, 60)) / 10, *rng.integers(1, 10, (2, 60)) / 10)]
+    tri = [[ring([(1, 1), (3, 1.5), (2, 3)])]] * 5
+    shapes = boxes + tri + [[], None]
+    assert union(spark, shapes, 4.0) == pytest.approx(raster(np.any([inside(s) for s in boxes + tri], axis=0)), abs=0.02)
+    assert union(spark, [[ring([(0, 0), (4, 0), (4, 4), (0, 4)])], *boxes], 4.0) == pytest.approx(16.0)

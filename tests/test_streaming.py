@@ -28,6 +28,15 @@ def test_publish_and_subscribe(spark, tmp_path):
     assert bus.stream(lambda c: exact_topic(c, "c")).isStreaming
 
 
+def test_batches_that_were_handled_are_counted(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("topic", T.StringType())])
+    bus, logs = Bus(spark, str(tmp_path / "bus"), schema), [str(tmp_path / x) for x in ("yes", "no", "none")]
+    bus.publish(spark.createDataFrame([(1, "a")], schema))
+    for log, answer in zip(logs, (True, False, None)):
+        bus.subscribe(lambda df, n, answer=answer: answer, log).awaitTermination(60)
+    assert [bus.handled()[log] for log in logs] == [1, 0, 1]
+
+
 def test_diagnostics(spark):
     d = Diagnostics(spark)
     with d.task("x"):
