@@ -18,6 +18,8 @@ U64 = np.uint64
 BANDS, BAND_ROWS = 24, 4
 #: Members of one bucket that one task compares at once; larger buckets go in blocks.
 TILE = 1024
+#: Rows of the table of large buckets up to which it is broadcast; beyond, it is joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,8 +154,8 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def _across(members: DataFrame, percent: int, t: int) -> DataFrame:
-    """Pairs (u, v) of different components within a bucket that nothing short of the sets rules out. members: (h, id, comp, n_shingles, sketch, bits).
+def _across(members: DataFrame, sizes: DataFrame, percent: int, t: int) -> DataFrame:
+    """Pairs (u, v) of different components within a bucket that nothing short of the sets rules out. members: (h, id, comp, n_shingles, sketch, bits); sizes: (h, blocks) of the buckets of more than one block.
 
     A bucket of m members is cut in ceil(m / TILE) blocks by a hash of the id,
     and each pair of blocks is a task's work, so any bucket is compared whole in
@@ -165,8 +167,8 @@ def _across(members: DataFrame, percent: int, t: int) -> DataFrame:
     """
     j = percent / 100
     least = int(np.floor(t * j - 6 * np.sqrt(t * j * (1 - j))))
-    sizes = members.groupBy("h").agg(F.count("*").alias("m"))
-    cut = members.join(sizes, "h").withColumn("blocks", F.ceil(F.col("m") / TILE).cast("long")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    few = sizes.count() <= MOST_BROADCAST
+    cut = members.join(F.broadcast(sizes) if few else sizes, "h", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     both = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     both = both.select("h", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "comp", "n_shingles", "sketch", "bits")
 
@@ -248,8 +250,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     of = stage(of, "bucket-comps")
     mixed = of.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("h")
     members = stage(of.join(mixed, "h", "left_semi"), "mixed")
+    sizes = members.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > TILE).select("h", F.ceil(F.col("m") / TILE).cast("long").alias("blocks"))
+    sizes = stage(sizes, "large-buckets")
     members = members.join(summaries(texts.join(members.select("id").distinct(), "id", "left_semi"), k, bands * rows), "id")
-    more = _across(members, percent, bands * rows).join(pairs, ["u", "v"], "left_anti")
+    more = _across(members, sizes, percent, bands * rows).join(pairs, ["u", "v"], "left_anti")
     more = stage(verify(stage(more, "across"), texts, k, percent), "more-links")
     if more.limit(1).count():
         comps = components(links.unionByName(more))
