@@ -9,7 +9,13 @@ is what an odd number of them hold: the outer ring, then its holes.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +25,7 @@ RING = "array<struct<x:double,y:double>>"
 PIECES = f"array<{RING}>"
 Point = tuple[float, float]
 #: Rings that are united one by one; parts of a cell that one task unites; times that a fuller cell is quartered.
-FEW, CELL_PARTS, DEEPEST = 4, 2048, 10
+FEW, CELL_PARTS, DEEPEST = 2, 2048, 10
 
 
 def box_intersection(df: DataFrame, minx: str, miny: str, maxx: str, maxy: str) -> DataFrame:
@@ -143,7 +149,7 @@ def unite_box(rings: list[list[Point]], x0: float, y0: float, x1: float, y1: flo
     follows the outlines in the box, not the square of the number of rings.
     """
     whole = (x1 - x0) * (y1 - y0)
-    if any(area(r) >= whole * (1 - 1e-12) for r in rings):
+    if any(len(r) >= 4 and area(r) >= whole * (1 - 1e-12) for r in rings):
         return [[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]]
     if len(rings) <= FEW or depth == 0:
         out: list[list[Point]] = []
@@ -240,16 +246,47 @@ def common_pieces(a: list[list[Point]], b: list[list[Point]]) -> list[list[Point
     return [x for p in a for q in b if _near(p, q) and (x := convex_intersection(p, q))]
 
 
+def _packed(ring: list[Point]) -> bytes:
+    return array("d", chain.from_iterable(ring)).tobytes()
+
+
+def _unpacked(data: bytes) -> list[Point]:
+    at = iter(array("d", data))
+    return list(zip(at, at))
+
+
 def _rows(ring: list[Point]) -> list[dict]:
     return [{"x": x, "y": y} for x, y in ring]
 
 
-def intersection(df: DataFrame, a: str, b: str, out: str = "ring") -> DataFrame:
-    """The common part of two convex rings of a row; an empty array if there is none. Other rings are an error: see ``intersection_pieces``."""
+def _bounds(rings: pa.Array) -> tuple[np.ndarray, ...]:
+    """Least and most x and y of each ring; those of a null or empty one meet no other."""
+    offsets, flat = rings.offsets.to_numpy(), rings.flatten()
+    begin = np.cumsum(np.concatenate([[0], np.diff(offsets)]))  # flatten() leaves out what lies under nulls
+    n = np.diff(begin)
+    some, out = np.flatnonzero(n), []
+    for name in ("x", "y"):
+        v = flat.field(name).to_numpy(zero_copy_only=False)
+        for f, none in ((np.minimum, np.inf), (np.maximum, -np.inf)):
+            own = np.full(len(n), none)
+            if len(some):
+                own[some] = f.reduceat(v, begin[:-1][some])
+            out.append(own)
+    return tuple(out)
 
-    @F.pandas_udf(RING)
-    def clip(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_rows(convex_intersection(_convex(p), _convex(q))) if p is not None and q is not None else [] for p, q in zip(x, y)])
+
+def intersection(df: DataFrame, a: str, b: str, out: str = "ring") -> DataFrame:
+    """The common part of two convex rings of a row; an empty array if there is none. Other rings whose bounds meet are an error: see ``intersection_pieces``."""
+
+    @F.arrow_udf(RING)
+    def clip(x: pa.Array, y: pa.Array) -> pa.Array:
+        x, y = (v.cast(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))) for v in (x, y))
+        p, q = _bounds(x.fill_null([])), _bounds(y.fill_null([]))
+        near = np.flatnonzero((p[0] < q[1]) & (q[0] < p[1]) & (p[2] < q[3]) & (q[2] < p[3]))
+        rows = [[]] * len(x)
+        for i, r, s in zip(near.tolist(), x.take(pa.array(near)).to_pylist(), y.take(pa.array(near)).to_pylist()):
+            rows[i] = _rows(convex_intersection(_convex(r), _convex(s)))
+        return pa.array(rows, x.type)
 
     return df.withColumn(out, clip(F.col(a), F.col(b)))
 
@@ -275,7 +312,8 @@ def union_all(df: DataFrame, ring: str, cell: float, out: str = "piece") -> Data
     point) parts are first united in blocks. Null and empty polygons add
     nothing. Empty table: empty. Other columns are dropped.
     """
-    kinds = "level int, cx bigint, cy bigint, covers boolean, ring " + RING
+    key = ["level", "cx", "cy"]
+    kinds, united = "level int, cx bigint, cy bigint, covers boolean, ring binary", "level int, cx bigint, cy bigint, ring binary"
 
     def boxes(level: int, cx: int, cy: int) -> tuple[float, float, float, float]:
         size = cell / (1 << level)
@@ -289,55 +327,85 @@ def union_all(df: DataFrame, ring: str, cell: float, out: str = "piece") -> Data
         covers = area(c) >= (x1 - x0) * (y1 - y0) * (1 - 1e-12)
         c = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)] if covers else c
         at = c.index(min(c))  # equal parts are written alike
-        return level, cx, cy, covers, _rows(c[at:] + c[:at])
+        return level, cx, cy, covers, _packed(c[at:] + c[:at])
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["level", "cx", "cy", "covers", "ring"])
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[*key, "covers", "ring"])
 
-    def cells(batches):
-        for pdf in batches:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             rows = []
-            for r in pdf[ring]:
+            for r in b.column(0).to_pylist():
                 for p in _polygon(r):
                     xs, ys = [x for x, _ in p], [y for _, y in p]
                     for cx in range(int(min(xs) // cell), int(max(xs) // cell) + 1):
                         rows += [x for cy in range(int(min(ys) // cell), int(max(ys) // cell) + 1) if (x := part(p, 0, cx, cy))]
             yield frame(rows)
 
-    def quarters(batches):
-        for pdf in batches:
+    def quarters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             rows = []
-            for level, cx, cy, r in zip(pdf["level"], pdf["cx"], pdf["cy"], pdf["ring"]):
-                p = _points(r)
+            for level, cx, cy, r in zip(*(b.column(c).to_pylist() for c in (*key, "ring"))):
+                p = _unpacked(r)
                 rows += [x for i in (0, 1) for j in (0, 1) if (x := part(p, level + 1, 2 * cx + i, 2 * cy + j))]
             yield frame(rows)
 
-    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        level, cx, cy = (int(pdf[c].iloc[0]) for c in ("level", "cx", "cy"))
-        pieces = unite_box([_points(r) for r in pdf["ring"]], *boxes(level, cx, cy))
-        return pd.DataFrame({"level": [level] * len(pieces), "cx": [cx] * len(pieces), "cy": [cy] * len(pieces), "ring": [_rows(p) for p in pieces]})
-
-    key, united = ["level", "cx", "cy"], "level int, cx bigint, cy bigint, ring " + RING
-    parts = stage(df.select(ring).mapInPandas(cells, kinds).distinct())
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by what tells groups apart; the last column, if there is one more, does too."""
+        group, rings = None, []
+
+        def flush() -> list[tuple]:
+            return [(*group[:3], _packed(p)) for p in unite_box(rings, *boxes(*group[:3]))] if rings else []
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[*key, "ring"])
+
+        for b in batches:
+            done = []
+            names = [c for c in b.schema.names if c != "ring"]
+            for *own, r in zip(*(b.column(c).to_pylist() for c in (*names, "ring"))):
+                if own != group:
+                    done += flush()
+                    group, rings = own, []
+                rings.append(_unpacked(r))
+            yield batch(done)
+        yield batch(flush())
+
+    def all_united(parts: DataFrame, *by: str) -> DataFrame:
+        """Groups meet by their keys and go through a worker one after another, without a call for each."""
+        return parts.select(*by, "ring").repartition(*by).sortWithinPartitions(*by).mapInArrow(unite, united)
+
+    parts = stage(df.select(ring).mapInArrow(cells, kinds).distinct())
     done = None
     for depth in range(DEEPEST + 1):
         counts = parts.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("covers").alias("covered")).withColumn("heavy", (F.col("n") > CELL_PARTS) & ~F.col("covered"))
         counts = stage(counts)
         heavy = counts.filter("heavy").limit(1).count() > 0
         light = parts.join(counts.filter("NOT heavy").select(*key, "covered"), key).filter(F.col("covers") | ~F.col("covered"))  # one part that covers a cell is all of it
-        got = light.groupBy(*key).applyInPandas(unite, united)
+        got = all_united(light, *key)
         done = got if done is None else done.unionByName(got)
         if not heavy:
             break
         rest = parts.join(counts.filter("heavy").select(*key), key, "left_semi")
         if depth == DEEPEST:
-            salted = rest.withColumn("salt", F.pmod(F.xxhash64("ring"), F.lit(64)))
-            blocks = salted.groupBy(*key, "salt").applyInPandas(unite, united)
-            done = done.unionByName(blocks.groupBy(*key).applyInPandas(unite, united))
+            blocks = all_united(rest.withColumn("salt", F.pmod(F.xxhash64("ring"), F.lit(64))), *key, "salt")
+            done = done.unionByName(all_united(blocks, *key))
             break
-        parts = stage(rest.mapInPandas(quarters, kinds).distinct())
+        parts = stage(rest.mapInArrow(quarters, kinds).distinct())
+
+    def rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = [np.frombuffer(r, np.float64).reshape(-1, 2) for r in b.column(2).to_pylist()]
+            at = np.cumsum([0, *map(len, flat)]).astype(np.int32)
+            points = np.concatenate(flat) if flat else np.zeros((0, 2))
+            lists = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], ["x", "y"]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["cx", "cy", out])
+
     scale = F.pow(F.lit(2.0), F.col("level"))
-    return done.select(F.floor(F.col("cx") / scale).alias("cx"), F.floor(F.col("cy") / scale).alias("cy"), F.col("ring").alias(out))
+    done = done.select(F.floor(F.col("cx") / scale).alias("cx"), F.floor(F.col("cy") / scale).alias("cy"), "ring")
+    return done.mapInArrow(rings, f"cx bigint, cy bigint, {out} {RING}")
 
 
 def intersection_all(df: DataFrame, ring: str, out: str = "ring") -> DataFrame:
